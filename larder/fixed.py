@@ -229,3 +229,9 @@ OFF_ROUTE_M = 50.0
 OFF_ROUTE_FIXES = 3
 REROUTE_PAUSE_MS = 30_000
 SEGMENT_TIE_M = 10.0
+
+# --- Fixed values: what a name tastes of or is filled with, and other phrases that mislead --
+REPEATED_HEAD = rf"^(\s*)([a-z]{{3,}}?)(?:e?s)?\s+(?=\2(?:e?s)?{WORD_END})"
+FLAVOUR_PHRASE = rf"{WORD_START}sabor(?:es)?\s+(?:a\s+|de\s+)?\S+(?:\s\S+)?"
+FILLING_PHRASE = rf"{WORD_START}rellen[oa]s?\s+(?:de|con)\s+\S+(?:\s\S+)?"
+HOT_DOG = rf"{WORD_START}perros?\s+calientes?{WORD_END}"

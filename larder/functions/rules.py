@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.fixed import WORD_END, WORD_START
 
 HEAD_START = r"^\s*(?:[0-9]+\s*x\s*)?"
+WORD_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 MAX_RULES = 5_000
 
 
@@ -44,7 +45,7 @@ def keyword_pattern(rule: Rule, head: bool = False) -> str:
     word = word[:-1] if stem else word
     if rule.literal:
         word = re.escape(word)
-    word = word.replace(r"\b", WORD_END)
+    word = word.replace(r"\b", WORD_EDGE)
     return f"{start}(?:{word})" if stem else f"{start}(?:{word})(?:e?s)?{WORD_END}"
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def _accent_table() -> tuple[str, str]:
 MARKED, PLAIN = _accent_table()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so it is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(col: Column) -> Column:
     """Lower case without accents: ``Piña`` gives ``pina``."""
     return F.regexp_replace(F.translate(F.lower(col), MARKED, PLAIN), "[\u0300-\u036f]", "")
@@ -84,17 +91,21 @@ def _code_point(digits: Column, base: int) -> Column:
         .when(code < 0x10000, ((F.lit(0xE0) + F.shiftright(code, 12)) * 256 + tail(6)) * 256 + tail(0))
         .otherwise((((F.lit(0xF0) + F.shiftright(code, 18)) * 256 + tail(12)) * 256 + tail(6)) * 256 + tail(0))
     )
-    return F.decode(F.unhex(F.hex(number)), F.lit("UTF-8"))
+    return F.decode(F.unhex(F.hex(number)), "UTF-8")
 
 
 def _decode_numeric(col: Column, pattern: str, base: int) -> Column:
     """Replace every numeric entity by its character, left to right in one pass over the split text."""
-    codes = F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
-    parts = F.split(col, pattern.replace("([", "(?:["), -1)
-    glued = F.zip_with(
-        parts, codes, lambda part, code: F.concat(part, F.when(code.isNull(), "").otherwise(_code_point(code, base)))
-    )
-    return F.when(F.size(codes) == 0, col).otherwise(F.array_join(glued, ""))
+
+    def glue(text: Column) -> Column:
+        codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        parts = F.split(text, pattern.replace("([", "(?:["), -1)
+        glued = F.zip_with(
+            parts, codes, lambda part, code: F.concat(part, F.when(code.isNull(), "").otherwise(_code_point(code, base)))
+        )
+        return F.when(F.contains(text, F.lit("&#")), F.array_join(glued, "")).otherwise(text)
+
+    return let(col, glue)
 
 
 def html_to_text(col: Column) -> Column:
