@@ -5,6 +5,6 @@ from larder.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "larder-tests", "6g")
+    session = local_session(4, "larder-tests", "6g")
     yield session
     session.stop()
