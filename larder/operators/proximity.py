@@ -48,61 +48,65 @@ def _around(cell: Column, rings: int) -> Column:
     )
 
 
-def nearest_branches(
-    origins: DataFrame,
-    branches: DataFrame,
-    radius_m: float = fixed.DEFAULT_RADIUS_M,
-    limit: int = fixed.DEFAULT_NEAREST,
-    max_abs_lat: float = fixed.LAT_RANGE[1],
-    levels: int = LEVELS,
+def _nearest(
+    origins: DataFrame, branches: DataFrame, per: list[str], radius: float, limit: int, max_abs_lat: float, levels: int
 ) -> DataFrame:
-    """Active shops within the radius of each origin, nearest first, at most ``limit`` (1 to 100).
-
-    ``origins``: origin_id, lat, lng. ``branches``: id, store_id, name, latitude, longitude, is_active, any number of
-    them. Exact at every density: cells of side ``radius`` and of its halves are counted, each distinct origin takes
-    the finest level whose 3 x 3 cells already hold ``limit`` shops, and reads 7 x 7 cells there, which no nearer shop
-    can lie outside of; where no level does, it reads 3 x 3 cells of the coarsest, which cover the radius. Shops on
-    one spot are cut to the ``limit`` lowest ids beforehand, as equal distances go by id. ``max_abs_lat`` bounds the
-    latitudes of the data, so that no cell is narrower than its side.
-    """
-    radius, limit = clamp_radius(radius_m), min(max(limit, 1), fixed.MAX_NEAREST)
+    """The ``limit`` nearest active shops of each distinct origin, per value of ``per``, with ``_metres`` and ``rank``."""
     side = max(radius, 1.0)
-    spot = Window.partitionBy("latitude", "longitude").orderBy("id")
+    spot = Window.partitionBy(*per, "latitude", "longitude").orderBy("id")
     shops = (
         branches.where("is_active")
         .withColumn("_spot", F.row_number().over(spot))
         .where(F.col("_spot") <= limit)
         .drop("_spot")
-        .withColumn(
-            "cell", F.explode(_level_cells(F.col("latitude"), F.col("longitude"), side, max_abs_lat, levels))
-        )
+        .withColumn("cell", F.explode(_level_cells(F.col("latitude"), F.col("longitude"), side, max_abs_lat, levels)))
     )
     asked = origins.select("lat", "lng").distinct()
-    counts = shops.groupBy("cell").agg(F.count(F.lit(1)).alias("shops"))
+    counts = shops.groupBy("cell", *per).agg(F.count(F.lit(1)).alias("shops"))
+    cells = _level_cells(F.col("lat"), F.col("lng"), side, max_abs_lat, levels)
     level_of = (
-        asked.withColumn("cell", F.explode(F.flatten(F.transform(
-            _level_cells(F.col("lat"), F.col("lng"), side, max_abs_lat, levels), lambda c: _around(c, 1)))))
+        asked.withColumn("cell", F.explode(F.flatten(F.transform(cells, lambda c: _around(c, 1)))))
         .join(counts, "cell")
-        .groupBy("lat", "lng", F.col("cell.level").alias("level"))
+        .groupBy("lat", "lng", *per, F.col("cell.level").alias("level"))
         .agg(F.sum("shops").alias("shops"))
-        .groupBy("lat", "lng")
-        .agg(F.max(F.when(F.col("shops") >= limit, F.col("level"))).alias("level"))
+        .groupBy("lat", "lng", *per)
+        .agg(F.coalesce(F.max(F.when(F.col("shops") >= limit, F.col("level"))), F.lit(0)).alias("level"))
     )
-    cells = _level_cells(F.col("lat"), F.col("lng"), side, max_abs_lat, levels)
-    own = F.get(cells, F.coalesce("level", F.lit(0)))
+    own = F.get(cells, F.col("level"))
     # at the coarsest level the cells are as wide as the radius, so one ring is enough there
-    ring = F.when(F.coalesce("level", F.lit(0)) == 0, _around(own, 1)).otherwise(_around(own, RINGS))
+    ring = F.when(F.col("level") == 0, _around(own, 1)).otherwise(_around(own, RINGS))
     metres = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
-    rank = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("_metres", "id"))
-    found = (
+    rank = F.row_number().over(Window.partitionBy("lat", "lng", *per).orderBy("_metres", "id"))
+    return (
         level_of.withColumn("cell", F.explode(ring))
-        .join(shops, "cell")
+        .join(shops, ["cell", *per])
         .withColumn("_metres", metres)
         .where(F.col("_metres") <= radius)
         .withColumn("rank", rank)
         .where(F.col("rank") <= limit)
         .drop("cell", "level")
     )
+
+
+def nearest_branches(
+    origins: DataFrame,
+    branches: DataFrame,
+    radius_m: float = fixed.DEFAULT_RADIUS_M,
+    limit: int = fixed.DEFAULT_NEAREST,
+    max_abs_lat: float = fixed.LAT_RANGE[1],
+    levels: int = LEVELS,
+) -> DataFrame:
+    """Active shops within the radius of each origin, nearest first, at most ``limit`` (1 to 100).
+
+    ``origins``: origin_id, lat, lng. ``branches``: id, store_id, name, latitude, longitude, is_active, any number of
+    them. Exact at every density: cells of side ``radius`` and of its halves are counted, each distinct origin takes
+    the finest level whose 3 x 3 cells already hold ``limit`` shops, and reads 7 x 7 cells there, which no nearer shop
+    can lie outside of; where no level does, it reads 3 x 3 cells of the coarsest, which cover the radius. Shops on
+    one spot are cut to the ``limit`` lowest ids beforehand, as equal distances go by id. ``max_abs_lat`` bounds the
+    latitudes of the data, so that no cell is narrower than its side.
+    """
+    radius, limit = clamp_radius(radius_m), min(max(limit, 1), fixed.MAX_NEAREST)
+    found = _nearest(origins, branches, [], radius, limit, max_abs_lat, levels)
     return (
         origins.select("origin_id", "lat", "lng")
         .join(found, ["lat", "lng"])
@@ -116,26 +120,12 @@ def nearest_chains(
     branches: DataFrame,
     radius_m: float = fixed.DEFAULT_RADIUS_M,
     max_abs_lat: float = fixed.LAT_RANGE[1],
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """Distance from each origin to the nearest active shop of every chain within the radius.
-
-    Shops are first reduced to the distinct spots of a chain, and the minimum is taken before the shuffle.
-    """
-    radius = clamp_radius(radius_m)
-    side = max(radius, 1.0)
-    spots = branches.where("is_active").select("store_id", "latitude", "longitude").distinct()
-    placed = spots.withColumn("cell", F.get(_level_cells(F.col("latitude"), F.col("longitude"), side, max_abs_lat, 1), F.lit(0)))
-    asked = origins.select("lat", "lng").distinct()
-    metres = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
-    near = (
-        asked.withColumn("cell", F.explode(_around(F.get(_level_cells(F.col("lat"), F.col("lng"), side, max_abs_lat, 1), F.lit(0)), 1)))
-        .join(placed, "cell")
-        .withColumn("_metres", metres)
-        .where(F.col("_metres") <= radius)
-        .groupBy("lat", "lng", "store_id")
-        .agg(F.min("_metres").alias("_metres"))
-    )
-    return origins.select("origin_id", "lat", "lng").join(near, ["lat", "lng"])
+    """Distance from each origin to the nearest active shop of every chain within the radius: one shop per chain."""
+    shops = branches.select("id", "store_id", "latitude", "longitude", "is_active")
+    found = _nearest(origins, shops, ["store_id"], clamp_radius(radius_m), 1, max_abs_lat, levels)
+    return origins.select("origin_id", "lat", "lng").join(found.select("lat", "lng", "store_id", "_metres"), ["lat", "lng"])
 
 
 def stores_near(
