@@ -5,6 +5,10 @@ from __future__ import annotations
 # --- Fixed values: text -------------------------------------------------------------------
 # White space as the sources mean it: Java's \s leaves out the no-break space and its relatives.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f"
+    "\u205f\u3000\ufeff"
+)
 # Word edges over accent-free text; ASCII on purpose.
 WORD_START = "(?<![A-Za-z0-9_])"
 WORD_END = "(?![A-Za-z0-9_])"

@@ -10,11 +10,9 @@ from larder.functions.text import strip
 
 
 def lookup(col: Column, table: dict) -> Column:
-    """A small fixed table as a CASE, so it stays inside generated code."""
-    chosen: Column | None = None
-    for key, value in table.items():
-        chosen = F.when(col == key, F.lit(value)) if chosen is None else chosen.when(col == key, F.lit(value))
-    return chosen
+    """A small fixed table as one map literal: the key is worked out once, whatever the table's size."""
+    entries = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*entries), col)
 
 
 def to_cop(amount: Column) -> Column:

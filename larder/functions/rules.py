@@ -49,6 +49,12 @@ def keyword_pattern(rule: Rule, head: bool = False) -> str:
     return f"{start}(?:{word})" if stem else f"{start}(?:{word})(?:e?s)?{WORD_END}"
 
 
+def _first_letters(rules: Sequence[Rule]) -> str:
+    """A cheap look-ahead for the letters a run of keywords starts with, so most positions of a text fail at once."""
+    starts = {fold_keyword(r.keyword)[:1] for r in rules}
+    return f"(?=[{''.join(sorted(starts))}])" if all(s.isalnum() and s.isascii() for s in starts) else ""
+
+
 def _target(rule: Rule, aisle: Column | None) -> Column:
     if not rule.aisles or aisle is None:
         return F.lit(rule.slug)
@@ -65,6 +71,8 @@ def first_match(text: Column, rules: Sequence[Rule], aisle: Column | None = None
     for (slug, aisles), run in groupby(rules, key=lambda r: (r.slug, r.aisles)):
         run = list(run)
         pattern = "|".join(keyword_pattern(r, head) for r in run)
+        if not head:
+            pattern = f"{_first_letters(run)}(?:{pattern})"
         target = _target(run[0], aisle)
         decided = F.when(text.rlike(pattern), target) if decided is None else decided.when(text.rlike(pattern), target)
     return F.lit(None).cast("string") if decided is None else decided

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.fixed import SPACE
+from larder.fixed import SPACE, SPACE_CHARS
 
 
 def _accent_table() -> tuple[str, str]:
@@ -43,7 +43,7 @@ def fold_text(df: DataFrame, *columns: str, suffix: str = "_folded") -> DataFram
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
 
 
 def squeeze(col: Column) -> Column:

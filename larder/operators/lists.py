@@ -111,6 +111,8 @@ def apply_list_saves(
         .withColumn("today", region_price(F.col("prices"), F.coalesce("region_code", F.lit(NATIONAL))))
         .drop("prices", "region_code", "owner_id")
     )
+    # read by the checks, the chain and the result: cut once instead of parsing every payload again
+    entries = cut_lineage(entries)
     # A product without a price can only be in a list that held it already: such saves are refused at once.
     hopeless = entries.where("today is null and held_price is null").select("save_id").distinct()
     priced = (
@@ -119,8 +121,8 @@ def apply_list_saves(
         .withColumn("error", F.coalesce("error", F.when(F.col("_hopeless"), "P0001")))
         .drop("_hopeless")
     )
-    checked = _list_error(priced, lists)
-    earlier = payload.select(F.col("save_id").alias("before_id"), "store_product_id", F.lit(True).alias("_there"))
+    checked = cut_lineage(_list_error(priced, lists))
+    earlier = entries.select(F.col("save_id").alias("before_id"), "store_product_id", F.lit(True).alias("_there"))
 
     def trace(good: DataFrame) -> DataFrame:
         chain = previous_row(

@@ -10,7 +10,7 @@ from larder.fixed import SPACE
 from larder.functions.money import lookup
 from larder.functions.text import capitalise_first, let, squeeze, strip, words
 
-_LAST_SIZE = rf"(?s)^(.*?)([0-9]+(?:[.,][0-9]+)?){SPACE}*([a-zA-Zñ]+){SPACE}*$"
+_LAST_SIZE = rf"[0-9]+(?:[.,][0-9]+)?{SPACE}*[a-zA-Zñ]+{SPACE}*$"
 _GROUP = r"\(([^)]*)\)"
 
 
@@ -52,14 +52,19 @@ def _judge(part: Column) -> Column:
 
 
 def _part(text: Column, lead: Column) -> Column:
-    spelled = F.lower(F.regexp_extract(text, _LAST_SIZE, 3))
-    return F.struct(
-        F.regexp_extract(text, _LAST_SIZE, 1).alias("before"),
-        F.regexp_extract(text, _LAST_SIZE, 2).alias("number"),
-        lookup(spelled, fixed.UNIT_SPELLINGS).alias("unit"),
-        lead.alias("lead"),
-        text.alias("text"),
-    )
+    """The size a text ends with, taken apart: what stands before it, its number, its unit."""
+
+    def apart(tail: Column) -> Column:
+        spelled = F.lower(F.regexp_extract(tail, rf"([a-zA-Zñ]+){SPACE}*$", 1))
+        return F.struct(
+            F.left(text, F.length(text) - F.length(tail)).alias("before"),
+            F.regexp_extract(tail, r"^([0-9]+(?:[.,][0-9]+)?)", 1).alias("number"),
+            lookup(spelled, fixed.UNIT_SPELLINGS).alias("unit"),
+            lead.alias("lead"),
+            text.alias("text"),
+        )
+
+    return let(F.regexp_extract(text, _LAST_SIZE, 0), apart)
 
 
 def measure_of(name: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from larder import fixed
 from larder.functions import money
 from larder.functions.rules import fold_keyword
-from larder.functions.text import blank_to_null, fold, squeeze, strip, tidy_case
+from larder.functions.text import fold, squeeze, strip, tidy_case
 from larder.operators.classify import Taxonomy, aisle_of, plain_words
 from larder.operators.measure import clean_brand, clean_name, display_name, erp_measure_of, measure_of
 from larder.schemas import PRODUCT_COLUMNS
@@ -23,7 +23,9 @@ def dedupe_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     The rank is limited to one, so every task sends at most one row per key to the shuffle, hot key or not.
     """
     names = [f"_key_{i}" for i in range(len(keys))]
-    keyed = rows.withColumns({n: blank_to_null(strip(F.col(k).cast("string"))) for n, k in zip(names, keys)})
+    kinds = dict(rows.dtypes)
+    as_text = lambda k: F.nullif(strip(F.col(k)), F.lit("")) if kinds[k] == "string" else F.col(k)
+    keyed = rows.withColumns({n: as_text(k) for n, k in zip(names, keys)})
     known = F.lit(True)
     for n in names:
         known = known & F.col(n).isNotNull()

@@ -184,4 +184,7 @@ def match_fixes(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     )
     seen = fixes.select("trip_id", "route_id", F.lit(1).alias("kind"), "ts", "lat", "lng")
     line = opened.unionByName(seen, allowMissingColumns=True)
-    return line.repartition("trip_id").sortWithinPartitions("trip_id", "kind", "ts", "lat", "lng").mapInPandas(_follow, MATCHED)
+    # a number given here is kept: adaptive coalescing sizes partitions by bytes and would starve the Python step
+    tasks = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = line.repartition(tasks, "trip_id").sortWithinPartitions("trip_id", "kind", "ts", "lat", "lng")
+    return ordered.mapInPandas(_follow, MATCHED)

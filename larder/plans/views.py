@@ -22,8 +22,8 @@ def _region(number: str):
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"))
-    shelf = F.round(F.col("l_extendedprice") * (1 + F.col("l_tax")) / F.col("l_quantity"))
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5)
+    shelf = F.floor(F.col("l_extendedprice") * (1 + F.col("l_tax")) / F.col("l_quantity") + 0.5)
     return read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
         F.col("l_partkey").alias("store_product_id"),
@@ -120,7 +120,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("store_product_id"),
         F.col("l_quantity").cast("decimal(10,3)").alias("quantity"),
         F.col("l_linenumber").alias("position"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("int").alias("price_cop_at_add"),
+        F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("int").alias("price_cop_at_add"),
     )
 
 
