@@ -28,13 +28,19 @@ def clean(col: Column) -> Column:
     return squeeze(F.replace(text, F.lit("#"), F.lit(" # ")))
 
 
-def _captured(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """Whole match and captured groups of the first match as an array, by two passes; null entries for no match."""
+    marks = "\u0001".join(f"${i}" for i in range(count + 1))
+    return F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, marks), "\u0001", -1)
 
 
-def _number_of(text: Column, pattern: str) -> Column:
+def _group(groups: Column, index: int) -> Column:
+    return F.nullif(F.get(groups, F.lit(index)), F.lit(""))
+
+
+def _number_of(groups: Column) -> Column:
     """Digits, letter, bis and second letter of a street number, run together."""
-    return F.concat(*[F.regexp_extract(text, pattern, group) for group in (1, 2, 3, 4)])
+    return F.array_join(F.slice(groups, 2, 4), "")
 
 
 def _opening(text: Column) -> Column:
@@ -49,26 +55,32 @@ def _opening(text: Column) -> Column:
 
 def _split_street(opened: Column) -> Column:
     rest = opened["rest"]
-    return F.struct(
-        opened["kind"].alias("kind"),
-        lookup(opened["kind"], _CROSS_TYPE).alias("cross_kind"),
-        (F.regexp_extract(rest, _STREET_RE, 0) != "").alias("found"),
-        _number_of(rest, _STREET_RE).alias("number"),
-        _captured(rest, _STREET_RE, 5).alias("suffix"),
-        F.trim(F.substr(rest, F.length(F.regexp_extract(rest, _STREET_RE, 0)) + 1)).alias("after"),
-    )
+
+    def read(g: Column) -> Column:
+        return F.struct(
+            opened["kind"].alias("kind"),
+            lookup(opened["kind"], _CROSS_TYPE).alias("cross_kind"),
+            _group(g, 0).isNotNull().alias("found"),
+            _number_of(g).alias("number"),
+            _group(g, 5).alias("suffix"),
+            F.trim(F.substr(rest, F.length(F.get(g, F.lit(0))) + 1)).alias("after"),
+        )
+
+    return let(_groups(rest, _STREET_RE, 5), read)
 
 
 def _read_cross(s: Column) -> Column:
-    after = s["after"]
-    return F.struct(
-        s.alias("s"),
-        (s["found"] & s["cross_kind"].isNotNull() & (F.regexp_extract(after, fixed.CROSS_STREET, 0) != "")).alias("crossed"),
-        _number_of(after, fixed.CROSS_STREET).alias("number"),
-        _captured(after, fixed.CROSS_STREET, 5).alias("suffix"),
-        _captured(after, fixed.CROSS_STREET, 6).alias("plate"),
-        _captured(after, fixed.CROSS_STREET, 7).alias("trailing"),
-    )
+    def read(g: Column) -> Column:
+        return F.struct(
+            s.alias("s"),
+            (s["found"] & s["cross_kind"].isNotNull() & _group(g, 0).isNotNull()).alias("crossed"),
+            _number_of(g).alias("number"),
+            _group(g, 5).alias("suffix"),
+            _group(g, 6).alias("plate"),
+            _group(g, 7).alias("trailing"),
+        )
+
+    return let(_groups(s["after"], fixed.CROSS_STREET, 7), read)
 
 
 def _assemble(c: Column) -> Column:

@@ -88,8 +88,10 @@ def measure_of(name: Column) -> Column:
         F.concat(bracketed, F.array(_part(name, F.lit(""))))
     )
     judged = F.filter(F.transform(pieces, _judge), lambda j: j["state"].isNotNull())
-    first = F.get(judged, F.lit(0))
-    return F.when(first["state"] == "read", F.struct(first["value"].alias("value"), first["measure"].alias("measure")))
+    return let(
+        F.get(judged, F.lit(0)),
+        lambda j: F.when(j["state"] == "read", F.struct(j["value"].alias("value"), j["measure"].alias("measure"))),
+    )
 
 
 def _spread(df: DataFrame, size: Column) -> DataFrame:
