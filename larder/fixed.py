@@ -104,9 +104,9 @@ FILLER_WORDS = (
     "frasco", "lata", "botella", "tarro", "display", "surtido", "surtida", "surtidos", "surtidas", "de", "del",
     "la", "el", "los", "las", "y", "con", "en", "por",
 )
-MEASURE_WORD = r"(?i)^(?:x?[0-9]+(?:[.,][0-9]+)?[a-zñ]*|[a-z]{1,3}[0-9]+)$"
+MEASURE_WORD = r"(?iu)^(?:x?[0-9]+(?:[.,][0-9]+)?[a-zñ]*|[a-z]{1,3}[0-9]+)$"
 PLACEHOLDER_BRAND = (
-    rf"(?i)^(?:sin{SPACE}+marca(?:{SPACE}+[0-9]+)?\.?|gen[eé]ric[oa]s?\.?|no{SPACE}+aplica|n\.?/?a\.?|-+"
+    rf"(?iu)^(?:sin{SPACE}+marca(?:{SPACE}+[0-9]+)?\.?|gen[eé]ric[oa]s?\.?|no{SPACE}+aplica|n\.?/?a\.?|-+"
     r"|[0-9]+(?:[.,/-][0-9]+)+)$"
 )
 # container words by product keyword, singular and plural
