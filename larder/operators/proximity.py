@@ -11,6 +11,7 @@ from larder.functions import geo
 
 LEVELS = 6
 RINGS = 3
+MIN_SIDE_M = 100.0
 
 
 def snap_origins(origins: DataFrame) -> DataFrame:
@@ -22,6 +23,12 @@ def clamp_radius(radius_m: float) -> float:
     return float(min(max(radius_m, 0), fixed.MAX_RADIUS_M))
 
 
+def _pack(level: Column | int, y: Column, x: Column) -> Column:
+    """A cell as one long (level, row, column), so that joins and shuffles compare plain numbers."""
+    level = F.lit(level) if isinstance(level, int) else level
+    return level.cast("bigint") * 2**56 + (y.cast("bigint") + 2**27) * 2**28 + (x.cast("bigint") + 2**27)
+
+
 def _level_cells(lat: Column, lng: Column, side_m: float, max_abs_lat: float, levels: int) -> Column:
     """One struct (level, y, x) per level of the grid; the side halves from one level to the next."""
     cells = []
@@ -33,33 +40,29 @@ def _level_cells(lat: Column, lng: Column, side_m: float, max_abs_lat: float, le
     return F.array(*cells)
 
 
+def _packed(cells: Column) -> Column:
+    return F.transform(cells, lambda c: _pack(c["level"], c["y"], c["x"]))
+
+
 def _around(cell: Column, rings: int) -> Column:
-    """The cell and its neighbours up to ``rings`` away."""
-    offsets = F.array(
-        *[
-            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-            for dy in range(-rings, rings + 1)
-            for dx in range(-rings, rings + 1)
-        ]
-    )
-    return F.transform(
-        offsets,
-        lambda o: F.struct(cell["level"].alias("level"), (cell["y"] + o["dy"]).alias("y"), (cell["x"] + o["dx"]).alias("x")),
-    )
+    """The packed cell and its neighbours up to ``rings`` away."""
+    offsets = [dy * 2**28 + dx for dy in range(-rings, rings + 1) for dx in range(-rings, rings + 1)]
+    here = _pack(cell["level"], cell["y"], cell["x"])
+    return F.transform(F.array(*[F.lit(o).cast("bigint") for o in offsets]), lambda o: here + o)
 
 
 def _nearest(
     origins: DataFrame, branches: DataFrame, per: list[str], radius: float, limit: int, max_abs_lat: float, levels: int
 ) -> DataFrame:
     """The ``limit`` nearest active shops of each distinct origin, per value of ``per``, with ``_metres`` and ``rank``."""
-    side = max(radius, 1.0)
+    side = max(radius, MIN_SIDE_M)
     spot = Window.partitionBy(*per, "latitude", "longitude").orderBy("id")
     shops = (
         branches.where("is_active")
         .withColumn("_spot", F.row_number().over(spot))
         .where(F.col("_spot") <= limit)
         .drop("_spot")
-        .withColumn("cell", F.explode(_level_cells(F.col("latitude"), F.col("longitude"), side, max_abs_lat, levels)))
+        .withColumn("cell", F.explode(_packed(_level_cells(F.col("latitude"), F.col("longitude"), side, max_abs_lat, levels))))
     )
     asked = origins.select("lat", "lng").distinct()
     counts = shops.groupBy("cell", *per).agg(F.count(F.lit(1)).alias("shops"))
@@ -67,7 +70,7 @@ def _nearest(
     level_of = (
         asked.withColumn("cell", F.explode(F.flatten(F.transform(cells, lambda c: _around(c, 1)))))
         .join(counts, "cell")
-        .groupBy("lat", "lng", *per, F.col("cell.level").alias("level"))
+        .groupBy("lat", "lng", *per, F.shiftright("cell", 56).cast("int").alias("level"))
         .agg(F.sum("shops").alias("shops"))
         .groupBy("lat", "lng", *per)
         .agg(F.coalesce(F.max(F.when(F.col("shops") >= limit, F.col("level"))), F.lit(0)).alias("level"))

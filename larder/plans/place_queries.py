@@ -164,7 +164,8 @@ def collect_branches(spark, sf):
 
 def _addresses(spark, sf):
     """Every line item writes an address: 'Cra 80 A # 50-87 Sur' and relatives."""
-    line = v.read(spark, sf, "lineitem")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    line = v.read_spread(spark, sf, "lineitem", *columns)
     word = (
         F.when(F.col("l_returnflag") == "A", "CRA ").when(F.col("l_returnflag") == "N", "Calle ").otherwise("Av. Carrera ")
     )

@@ -19,7 +19,7 @@ from larder.plans.views import with_ctes
 
 @query("text_normalise", "select doc_id, md5(strip_accents(lower(text))) as folded from documents")
 def text_normalise(spark, sf):
-    docs = v.read(spark, sf, "documents").select("doc_id", "text")
+    docs = v.read_spread(spark, sf, "documents", "doc_id", "text")
     return fold_text(docs, "text").select("doc_id", F.md5("text_folded").alias("folded"))
 
 
@@ -33,7 +33,7 @@ def text_normalise(spark, sf):
        '[\\s\\x{00a0}]+', ' ', 'g'))) as text from pages""",
 )
 def html_text(spark, sf):
-    return v.read(spark, sf, "pages").select("page_id", F.md5(html_to_text(F.col("html"))).alias("text"))
+    return v.read_spread(spark, sf, "pages", "page_id", "html").select("page_id", F.md5(html_to_text(F.col("html"))).alias("text"))
 
 
 # name of a product with its size written the way its type writes it
@@ -172,7 +172,7 @@ def _tag_sql(text: str, rules: list[Rule]) -> str:
     " from (select doc_id, lang, strip_accents(lower(text)) as t from documents)",
 )
 def keyword_tags(spark, sf):
-    docs = v.read(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = v.read_spread(spark, sf, "documents", "doc_id", "lang", "text")
     return cl.tag_by_keywords(docs, "text", TAGS, {"fr": "fr"}, "lang", "other").select("doc_id", "tag")
 
 
@@ -209,7 +209,7 @@ def classify_layers(spark, sf):
 @query("classify_documents")
 def classify_documents(spark, sf):
     """The starter rules over whole documents: the cost of the real layer count on long texts."""
-    docs = v.read(spark, sf, "documents").select("doc_id", F.col("text").alias("name"), F.lit(None).cast("string").alias("source_bucket"))
+    docs = v.read_spread(spark, sf, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("name"), F.lit(None).cast("string").alias("source_bucket"))
     return cl.classify(docs).groupBy("category_slug").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -278,6 +278,7 @@ def truncated_aisles(spark, sf):
     )
 
 
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 RAW = """raw as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, p_name, p_brand, p_type,
   cast(floor(l_extendedprice/l_quantity+0.5) as integer) as cop from lineitem join part on p_partkey=l_partkey)"""
 
@@ -296,7 +297,7 @@ RAW = """raw as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quanti
     ),
 )
 def normalize_vtex(spark, sf):
-    lines = v.read(spark, sf, "lineitem").join(v.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = v.read_spread(spark, sf, "lineitem", *LINE).join(v.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     price = F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
     offer = F.struct(
         price.alias("Price"),
@@ -341,7 +342,7 @@ def normalize_vtex(spark, sf):
     ),
 )
 def normalize_shopify(spark, sf):
-    lines = v.read(spark, sf, "lineitem").join(v.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = v.read_spread(spark, sf, "lineitem", *LINE).join(v.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     price = (
         F.when(F.col("l_tax") == 0.08, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".290")))
         .when(F.col("l_discount") == 0, "0.00").otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".00")))

@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="larder-checkpoint-"))
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one task per core for CPU-bound columns over a small input; many-file inputs come back as they are.
+
+    A file with a single row group is one task however many cores there are. The extra exchange is only added when the
+    scan has fewer splits than the session has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
