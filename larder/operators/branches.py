@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions.geo import haversine_m, in_country
+from larder.functions.rules import fold_keyword
 from larder.functions.text import blank_to_null, fold, html_to_text, let, strip, tidy_name, words
 from larder.operators.normalize import dedupe_first
 from larder.schemas import BRANCH_COLUMNS
@@ -105,9 +106,12 @@ def d1_branches(raw: DataFrame) -> DataFrame:
 
 
 def _towns() -> Column:
+    """Town centres with their folded names, as one literal: a fixed list of 73."""
     return F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"))
+            F.struct(
+                F.lit(label).alias("label"), F.lit(fold_keyword(label)).alias("key"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng")
+            )
             for label, lat, lng in fixed.TOWN_CENTRES + fixed.MORE_TOWNS
         ]
     )
@@ -115,12 +119,17 @@ def _towns() -> Column:
 
 def find_town(name: Column) -> Column:
     """The town a name means: the same letters, a garbled one standing for any, or a name that goes on after it."""
-    plain = fold(strip(name))
-    escaped = F.regexp_replace(plain, r"([\\%_])", r"\\$1")
-    pattern = F.replace(escaped, F.lit(GARBLED), F.lit("_"))
-    same = F.get(F.filter(_towns(), lambda t: F.like(fold(t["label"]), pattern)), F.lit(0))
-    opens = F.get(F.filter(_towns(), lambda t: F.startswith(plain, F.concat(fold(t["label"]), F.lit(" ")))), F.lit(0))
-    return F.coalesce(same, opens)
+
+    def search(plain: Column) -> Column:
+        escaped = F.regexp_replace(plain, r"([\\%_])", r"\\$1")
+        same = let(
+            F.replace(escaped, F.lit(GARBLED), F.lit("_")),
+            lambda pattern: F.get(F.filter(_towns(), lambda t: F.like(t["key"], pattern)), F.lit(0)),
+        )
+        opens = F.get(F.filter(_towns(), lambda t: F.startswith(plain, F.concat(t["key"], F.lit(" ")))), F.lit(0))
+        return F.coalesce(same, opens)
+
+    return let(fold(strip(name)), search)
 
 
 def olimpica_branches(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from larder import fixed
 from larder.functions import geo
+from larder.functions.text import let
 
 LEVELS = 6
 RINGS = 3
@@ -47,8 +48,9 @@ def _packed(cells: Column) -> Column:
 def _around(cell: Column, rings: int) -> Column:
     """The packed cell and its neighbours up to ``rings`` away."""
     offsets = [dy * 2**28 + dx for dy in range(-rings, rings + 1) for dx in range(-rings, rings + 1)]
-    here = _pack(cell["level"], cell["y"], cell["x"])
-    return F.transform(F.array(*[F.lit(o).cast("bigint") for o in offsets]), lambda o: here + o)
+    near = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+    # named first: a lambda works out again whatever its body spells out
+    return let(cell, lambda c: let(_pack(c["level"], c["y"], c["x"]), lambda here: F.transform(near, lambda o: here + o)))
 
 
 def _nearest(
