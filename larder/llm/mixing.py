@@ -27,7 +27,7 @@ CEILING = 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1 << 16
 #: Words of a source that one task puts in order.
-BUCKET_WORDS = 1 << 22
+BUCKET_WORDS = 1 << 19
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 
