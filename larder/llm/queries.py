@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, substrings, suffixes
+from larder.llm import crosspolytope, htmltext, jaccard, langid, mixing, neighbours, packing, quality, substrings, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,22 +27,87 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_nearest_vectors": op2_nearest_vectors,
+    "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_near_vectors": op8_near_vectors,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_text": op10_html_text,
+}
+#: Vectors that take part, for the SQL below.
+_VECTORS = """
+    select vec_id, embedding, label from embeddings
+    where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+        and len(list_filter(embedding, x -> x <> 0)) > 0"""
+_DOT = "list_reduce(list_transform(list_zip({0}.embedding, {1}.embedding), z -> z[1]::double * z[2]::double), (p, q) -> p + q)"
+
+SQL: dict[str, str] = {
+    "op2_nearest_vectors": f"""
+        with v as ({_VECTORS}),
+        d as (
+            select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.embedding, c.embedding),
+                z -> (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)), (p, q) -> p + q)) as score
+            from v as q join v as c on q.vec_id <> c.vec_id and len(q.embedding) = len(c.embedding)
+            where q.vec_id % 100 = 0
+        ),
+        r as (select *, row_number() over (partition by query_id order by score, vec_id) as place from d)
+        select query_id, cast(place as integer) as rank, vec_id, score from r where place <= 10""",
+    "op8_near_vectors": f"""
+        with recursive v as (select * from ({_VECTORS}) where label is not null),
+        p as (
+            select a.vec_id as x, b.vec_id as y from v as a join v as b on a.label = b.label and a.vec_id <> b.vec_id
+                and len(a.embedding) = len(b.embedding)
+            where {_DOT.format("a", "b")} / (sqrt({_DOT.format("a", "a")}) * sqrt({_DOT.format("b", "b")})) >= 0.98
+        ),
+        reach as (
+            select vec_id as x, vec_id as y from embeddings
+            union
+            select reach.x, p.y from reach join p on reach.y = p.x
+        )
+        select e.vec_id, (select count(*) from p where p.x = e.vec_id) as n_links, min(reach.y) as component_id,
+            e.vec_id = min(reach.y) as kept
+        from embeddings as e join reach on reach.x = e.vec_id
+        group by e.vec_id""",
 }
-SQL: dict[str, str] = {}

@@ -55,7 +55,7 @@ def test_two_stages_give_the_suffix_order():
         text = np.array([rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))] + [0])
         order = suffixes.two_stage_order(text, 64)
         assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:].tolist())
-        common = suffixes.common_prefixes(text, order, 5)
+        common = suffixes.common_prefixes(suffixes.Prefixes(text), order, 5)
         for a, b, n in zip(order[:-1], order[1:], common[1:], strict=True):
             same = [x == y for x, y in zip(text[a:], text[b:], strict=False)] + [False]
             assert n == min(5, same.index(False))
