@@ -3,14 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing
+from larder.llm import jaccard, mixing, packing, quality, suffixes
 from larder.llm.queries import tokenizer_path
 from larder.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.good_documents(docs, COLUMNS)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard similarity 0.8 on five-word shingles join, the one of least id."""
+    return jaccard.one_of_each(docs, COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 400 bytes that start elsewhere, too; a document of which nothing is left goes.
+
+    A character that such a string only partly covers stays.
+    """
+    left = suffixes.dedup_suffixes(docs, with_text=True, columns=[c for c in COLUMNS if c not in ("text", "n_chars")])
+    left = left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return left.where("n_removed = 0 or n_removed < n_bytes").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: sources by target weights, a row for each time a document is taken."""
     return mixing.mixed_documents(docs, mixing.plan_mix(docs), COLUMNS)
@@ -21,7 +42,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [
+    ("good_quality", good_quality),
+    ("one_of_near_duplicates", one_of_near_duplicates),
+    ("without_repeats", without_repeats),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 ORACLE_SQL = None
 
 

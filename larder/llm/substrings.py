@@ -129,21 +129,23 @@ def repeat_sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int =
 
 
 def _deal(sketch, bits: int, buckets: int, window: int, gram: int):
-    """Candidate windows of a partition of distinct texts, dealt out by hash; each hash once, with its least owner.
+    """Candidate windows of a partition of distinct texts, dealt out by gram; each window once, with its least owner.
+
+    Windows that are looked at through one gram go together, so a text sends and gets a row for many of them.
 
     A window whose words also start, in this partition, in a smaller document is a finished mark and passes through.
     """
 
     def flush(held: list[tuple], docs: list[tuple]) -> Iterator[pa.RecordBatch]:
         h1, h2 = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        doc = np.concatenate([x[2] for x in held])
+        doc, gram_hash = (np.concatenate([x[k] for x in held]) for k in (2, 3))
         owner, k1, k2 = (np.concatenate([x[k] for x in docs]) for k in range(3))
         order = np.lexsort((owner[doc], h2, h1))
-        h1, h2, doc = h1[order], h2[order], doc[order]
+        h1, h2, doc, gram_hash = h1[order], h2[order], doc[order], gram_hash[order]
         new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
         least = owner[doc][new][np.cumsum(new) - 1]
         late = owner[doc] > least
-        yield from _rows(0, h1[new], h2[new], doc[new], owner, k1, k2, (h1[new] >> np.uint64(40)).astype(np.int64) % buckets)
+        yield from _rows(0, h1[new], h2[new], doc[new], owner, k1, k2, (gram_hash[new] >> np.uint64(40)).astype(np.int64) % buckets)
         if late.any():
             yield from _rows(1, h1[late], h2[late][:0], doc[late], owner, k1, k2, doc[late] % buckets)
 
@@ -164,7 +166,7 @@ def _deal(sketch, bits: int, buckets: int, window: int, gram: int):
                 at = w.at[likely[through]]
                 if not len(at):
                     continue
-                held.append((w.hashes(0)[at], w.hashes(1)[at], w.doc[at] + seen))
+                held.append((w.hashes(0)[at], w.hashes(1)[at], w.doc[at] + seen, h[through[likely[through]]]))
                 here = slice(chunk.first, chunk.first + len(chunk))
                 docs.append((owner[here], k1[here], k2[here]))
                 seen += len(chunk)
