@@ -1,8 +1,8 @@
 """Document quality from weak labels.
 
 Heuristic labellers look at whole texts and vote good, bad or not at all. How often each pattern of votes occurs is
-counted over all documents; expectation-maximisation on these counts estimates how each labeller votes on good and on
-bad texts, without any true label. The posterior of its pattern is a text's soft label. A linear scorer over hashed
+counted over all documents; expectation-maximisation on these counts estimates how each labeller votes on good texts
+and on several kinds of bad ones, without any true label. The posterior of its pattern is a text's soft label. A linear scorer over hashed
 features is trained on the soft labels of a bounded sample, and scores every document.
 """
 
@@ -20,8 +20,11 @@ from larder.llm.textbuf import Chunk, byte_spans, chunks, mix
 #: Documents that the scorer is trained on, about; equal feature sets count once, with their number.
 SAMPLE = 8000
 FEATURE_BITS = 14
-KEEP_FROM = 0.5
+KEEP_FROM = 0.4
 SEED = 5
+#: Where expectation-maximisation starts: share of good texts, and how often a labeller votes bad on a good text, on the
+#: kind of bad text that is its own, and on other kinds.
+START_GOOD, START_WRONG, START_OWN, START_OTHER = 0.8, 0.02, 0.9, 0.2
 
 _UPPER, _LETTER, _ODD, _STOP = (np.zeros(256, dtype=bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -35,7 +38,7 @@ _KIND[_UPPER] = ord("A")
 _KIND[48:58] = ord("0")
 _KIND[[9, 11, 12, 13]] = 32
 
-LABELLERS = ("odd_signs", "capitals", "repeated_words", "sentence_ends", "word_length", "repeated_lines", "short_words", "plain_words")
+LABELLERS = ("odd_signs", "capitals", "repeated_words", "sentence_ends", "word_length", "repeated_lines", "short_words", "plain_words", "bare_signs")
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -56,11 +59,12 @@ class Facts:
         letters = np.maximum(_per_text(_LETTER[data], bounds), 1)
         self.odd = _per_text(_ODD[data], bounds) / n
         self.capitals = _per_text(_UPPER[data], bounds) / letters
-        same = np.zeros(len(self.codes), dtype=bool)
-        for back in (1, 2):
-            same[back:] |= (self.codes[back:] == self.codes[:-back]) & (of_word[back:] == of_word[:-back])
-        self.same = same
-        self.repeats = _per_text(same, self.first) / n
+        lettered = np.diff(np.append(0, np.cumsum(_LETTER[data]))[np.stack((self.start, self.end), axis=1)], axis=1)[:, 0] > 0
+        digit = np.append(0, np.cumsum((data >= 48) & (data < 58)))
+        self.bare = _per_text(~lettered & (digit[self.end] == digit[self.start]), self.first) / n
+        self.same = np.zeros(len(self.codes), dtype=bool)
+        self.same[1:] = (self.codes[1:] == self.codes[:-1]) & (of_word[1:] == of_word[:-1]) & lettered[1:]
+        self.repeats = _per_text(self.same, self.first) / n
         self.ends = _per_text(_STOP[data[self.end - 1]], self.first) / n
         size = self.end - self.start
         self.length = np.diff(np.append(0, np.cumsum(size))[self.first]) / n
@@ -92,6 +96,7 @@ class Facts:
             vote(self.line_repeats < 0.1, self.line_repeats > 0.5, self.lines >= 4),
             vote((self.short > 0.12) & (self.short < 0.7), (self.short < 0.05) | (self.short > 0.85), many),
             vote(self.plain > 0.8, self.plain < 0.5, some),
+            vote(self.bare < 0.05, self.bare > 0.2, some),
         ], axis=1)
 
     def features(self, bits: int = FEATURE_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,30 +146,39 @@ def _pattern(votes: np.ndarray) -> np.ndarray:
     return votes @ (3 ** np.arange(votes.shape[1]))
 
 
-def label_model(patterns: dict[int, int], turns: int = 100) -> tuple[float, np.ndarray]:
-    """Share of good texts, and for bad and good texts how often each labeller abstains, votes good and votes bad.
+def label_model(patterns: dict[int, int], turns: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the kinds of text, and for each kind how often each labeller, if it votes, votes good (1) and bad (2).
 
-    Starts from the majority of votes; each turn weighs patterns by their posterior and counts votes again.
+    Kind 0 is good; bad texts are bad in different ways, and votes that overlap on one way are not independent over all
+    bad texts, so there is a bad kind for each labeller, which starts as what that labeller is nearly sure to call bad.
+    Abstaining says nothing. Each turn weighs patterns by the posterior of each kind and counts votes again.
     """
     votes = np.array(sorted(patterns))[:, None] // (3 ** np.arange(len(LABELLERS))) % 3
     weight = np.array([patterns[p] for p in sorted(patterns)], dtype=np.float64)
-    posterior = 1 / (1 + np.exp(2.0 * ((votes == 2).sum(axis=1) - (votes == 1).sum(axis=1))))
+    kinds = len(LABELLERS) + 1
+    share = np.append(START_GOOD, np.full(kinds - 1, (1 - START_GOOD) / (kinds - 1)))
+    table = np.ones((kinds, len(LABELLERS), 3))
+    table[0, :, 2], table[1:, :, 2] = START_WRONG, START_OTHER
+    table[np.arange(1, kinds), np.arange(kinds - 1), 2] = START_OWN
+    table[:, :, 1] = 1 - table[:, :, 2]
     for _ in range(turns):
-        share = (np.dot(weight, posterior) + 1) / (weight.sum() + 2)
-        table = np.zeros((2, len(LABELLERS), 3))
-        for c, p in enumerate((1 - posterior, posterior)):
-            for v in range(3):
-                table[c, :, v] = ((votes == v) * (weight * p)[:, None]).sum(axis=0) + 0.5
-        table /= table.sum(axis=2, keepdims=True)
-        posterior = posteriors(share, table, votes)
+        part = kind_posteriors(share, table, votes) * weight[:, None]
+        share = (part.sum(axis=0) + 1) / (weight.sum() + kinds)
+        counts = np.stack([(votes == v).T.astype(np.float64) @ part for v in (1, 2)], axis=2).transpose(1, 0, 2) + 0.5
+        table[:, :, 1:] = counts / counts.sum(axis=2, keepdims=True)
     return share, table
 
 
-def posteriors(share: float, table: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """Probability that a text is good, from its votes."""
+def kind_posteriors(share: np.ndarray, table: np.ndarray, votes: np.ndarray) -> np.ndarray:
     at = np.arange(votes.shape[1])
-    odds = np.log(share) - np.log1p(-share) + (np.log(table[1][at, votes]) - np.log(table[0][at, votes])).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    score = np.log(share)[None, :] + np.stack([np.log(t[at, votes]).sum(axis=1) for t in table], axis=1)
+    e = np.exp(score - score.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def posteriors(share: np.ndarray, table: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Probability that a text is good, from its votes."""
+    return kind_posteriors(share, table, votes)[:, 0]
 
 
 def train_scorer(rows: list, bits: int = FEATURE_BITS, turns: int = 150, rate: float = 1.0, decay: float = 1e-6) -> np.ndarray:
