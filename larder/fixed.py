@@ -56,7 +56,7 @@ PACK_COUNT_BEFORE = (
     rf"|sobres?|bolsas?|botellas?){WORD_END}"
 )
 NOT_A_SIZE_BEFORE = (
-    rf"(?iu)(?<![\p{{L}}0-9_.,/#°º-])(?<!#{SPACE}{{1,8}})(?<![0-9]{SPACE}{{1,8}}en{SPACE}{{1,8}})[0-9]{{1,2}}{SPACE}+$"
+    rf"(?iu)(?<![\p{{L}}0-9_.,/#°º-])(?<!#{SPACE})(?<![0-9]{SPACE}en{SPACE})[0-9]{{1,2}}{SPACE}+$"
     rf"|[0-9]{SPACE}*/{SPACE}*$"
     rf"|[0-9]{SPACE}*(?:(?:{_ANY_UNIT}){SPACE}*)?(?:-|–|{WORD_START}a){SPACE}*$"
     rf"|{WORD_START}(?:hasta|desde|m[aá]s{SPACE}+de|menos{SPACE}+de){SPACE}+$"

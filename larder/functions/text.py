@@ -13,9 +13,9 @@ from larder.fixed import SPACE, SPACE_CHARS
 
 
 def _accent_table() -> tuple[str, str]:
-    """Every precomposed Latin letter that decomposes to one base letter plus combining marks."""
+    """Every character of any script that decomposes to one other character plus combining marks."""
     marked, plain = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0x0080, 0xD800), *range(0xE000, 0x10000)]:
         base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not "\u0300" <= c <= "\u036f")
         if len(base) == 1 and base != chr(code):
             marked.append(chr(code))

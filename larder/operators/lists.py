@@ -58,6 +58,7 @@ def _base_error(saves: DataFrame, payload: DataFrame) -> DataFrame:
         F.when(F.col("owner_id").isNull(), "42501")
         .when(entries.isNull() | (entries == 0), "22023")
         .when(entries > LIST_MAX_ITEMS, "54000")
+        .when(F.coalesce(strip(F.col("name")), F.lit("")) == "", "23514")
         .when(F.length(strip(F.col("name"))) > LIST_MAX_NAME, "22001")
         .when(F.coalesce("_bad", F.lit(True)), "22003")
     )

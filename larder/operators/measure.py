@@ -57,7 +57,7 @@ def _part(text: Column, lead: Column) -> Column:
     def apart(tail: Column) -> Column:
         spelled = F.lower(F.regexp_extract(tail, rf"([a-zA-Zñ]+){SPACE}*$", 1))
         return F.struct(
-            F.left(text, F.length(text) - F.length(tail)).alias("before"),
+            F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), f"{fixed.SPACE}+", " ").alias("before"),
             F.regexp_extract(tail, r"^([0-9]+(?:[.,][0-9]+)?)", 1).alias("number"),
             lookup(spelled, fixed.UNIT_SPELLINGS).alias("unit"),
             lead.alias("lead"),

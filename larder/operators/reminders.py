@@ -76,11 +76,11 @@ def plan_notifications(
 ) -> DataFrame:
     """Eight occurrences per reminder, the earliest of each owner up to the budget; ties by identifier.
 
-    ``summaries`` is the list summary (id, name, item_count, total_cop). The rank is limited, so tasks shuffle at most
-    ``budget`` rows per owner.
+    ``summaries`` is the list summary (id, name, item_count, total_cop): a reminder whose list is not there, archived or
+    gone, takes nothing of the budget. The rank is limited, so tasks shuffle at most ``budget`` rows per owner.
     """
     listed = summaries.select(F.col("id").alias("list_id"), F.col("name").alias("list_name"), "item_count", "total_cop")
-    due = expand_occurrences(reminders, now).select("owner_id", "list_id", "due_at")
+    due = expand_occurrences(reminders.join(listed, "list_id", "left_semi"), now).select("owner_id", "list_id", "due_at")
     products = F.when(F.col("item_count") == 1, "1 producto").otherwise(
         F.concat(F.col("item_count").cast("string"), F.lit(" productos"))
     )

@@ -159,9 +159,11 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row in batch.itertuples(index=False):
             if row.kind == 0:
-                trip = _Trip(row.trip_id, row.route_lng, row.route_lat, row.distance_m, row.duration_s)
-            elif trip is not None and trip.trip_id == row.trip_id:
-                out.append((row.trip_id, row.route_id, row.ts, row.lat, row.lng, *trip.step(row.ts, row.lat, row.lng)))
+                known = row.route_lng is not None
+                trip = _Trip(row.trip_id, row.route_lng, row.route_lat, row.distance_m, row.duration_s) if known else None
+                continue
+            found = (None,) * 5 if trip is None or trip.trip_id != row.trip_id else trip.step(row.ts, row.lat, row.lng)
+            out.append((row.trip_id, row.route_id, row.ts, row.lat, row.lng, *found))
         names = [part.strip().split(" ")[0] for part in MATCHED.split(",")]
         yield pd.DataFrame(out, columns=names)
 
@@ -171,10 +173,10 @@ def match_fixes(fixes: DataFrame, routes: DataFrame) -> DataFrame:
 
     Each fix depends on the one before it, so a trip is followed in order by one task, but never gathered: its sorted
     rows stream through in Arrow batches, and the state is one route and a few numbers. The route travels as the
-    trip's first row instead of beside every fix.
+    trip's first row instead of beside every fix. Fixes of a trip without a route come back with nulls.
     """
     opened = (
-        fixes.select("trip_id", "route_id").distinct().join(routes, "route_id").select(
+        fixes.select("trip_id", "route_id").distinct().join(routes, "route_id", "left").select(
             "trip_id", "route_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("ts"),
             F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
             F.transform("coordinates", lambda p: p["lng"]).alias("route_lng"),

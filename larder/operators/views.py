@@ -270,8 +270,9 @@ def _shingles(text: Column) -> Column:
 def equivalents_fuzzy(catalog: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Suggested equivalents: pairs of texts of one kind and size whose shingles have a Jaccard of ``threshold``.
 
-    Products with the same text, kind and size are one group, linked by its id, so copies never pair up. Between
-    groups the join is exact but small: shingles are ranked from rare to common, and two sets that reach the threshold
+    Products with the same text, kind and size are one group, linked by its id, so copies never pair up: a group whose
+    members no barcode ties together is one row, with itself on both sides and a Jaccard of 1, its ``members``, how many
+    different ``barcodes`` and ``stores`` they have. Between groups the join is exact but small: shingles are ranked from rare to common, and two sets that reach the threshold
     must share one of their ``n - ceil(t n) + 1`` rarest. Pairs already tied by a barcode are left out.
     """
     text = fold(F.concat_ws(" ", F.col("name"), F.coalesce("brand", F.lit(""))))
@@ -283,6 +284,9 @@ def equivalents_fuzzy(catalog: DataFrame, threshold: float = 0.6) -> DataFrame:
             F.min("id").alias("group_id"),
             F.count(F.lit(1)).alias("members"),
             F.when(F.min("ean") == F.max("ean"), F.min("ean")).alias("ean"),
+            F.count_distinct("ean").alias("barcodes"),
+            F.count_distinct("store_id").alias("stores"),
+            F.count("ean").alias("coded"),
         )
         .withColumn("shingles", _shingles(F.col("text")))
     )
@@ -320,4 +324,11 @@ def equivalents_fuzzy(catalog: DataFrame, threshold: float = 0.6) -> DataFrame:
     a = label.select(*[F.col(c).alias(f"{c}_a") for c in label.columns]).withColumnRenamed("group_id_a", "group_a")
     b = label.select(*[F.col(c).alias(f"{c}_b") for c in label.columns]).withColumnRenamed("group_id_b", "group_b")
     fact = F.coalesce(F.col("ean_a") == F.col("ean_b"), F.lit(False))
-    return scored.join(a, "group_a").join(b, "group_b").where(~fact).drop("ean_a", "ean_b")
+    pairs = scored.join(a, "group_a").join(b, "group_b").where(~fact).drop("ean_a", "ean_b")
+    untied = groups.where((F.col("members") > 1) & ((F.col("barcodes") != 1) | (F.col("coded") < F.col("members"))))
+    same = untied.select(
+        F.col("group_id").alias("group_a"), F.col("group_id").alias("group_b"), F.lit(1.0).alias("jaccard"),
+        F.col("text").alias("text_a"), F.col("members").alias("members_a"), F.col("text").alias("text_b"),
+        F.col("members").alias("members_b"), "barcodes", "stores",
+    )
+    return pairs.unionByName(same, allowMissingColumns=True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from larder.operators import reminders as rm
 from larder.operators import trips as tr
 from larder.plans import views as v
 from larder.plans.registry import query
-from larder.session import cut_lineage
+from larder.session import cut_lineage, shared_folder
 from larder.plans.views import CUR, ITEM, LT, PRICED, PROF, SNAP, with_ctes
 from larder.streaming import jobs
 
@@ -309,9 +308,10 @@ def reminder_occurrences(spark, sf):
         """select owner_id, list_id, identifier, rank, '"'||o_orderpriority||'" · '||case when coalesce(n,0)=1 then '1 producto' else coalesce(n,0)||' productos' end
           ||' · ~$'||chr(160)||replace(format('{:,}', coalesce(total,0)),',','.') as body from (
         select *, 'reminder:'||list_id||':'||strftime(due_at,'%Y%m%d%H%M') as identifier, row_number() over (partition by owner_id
-          order by due_at, 'reminder:'||list_id||':'||strftime(due_at,'%Y%m%d%H%M')) as rank from due)
+          order by due_at, 'reminder:'||list_id||':'||strftime(due_at,'%Y%m%d%H%M')) as rank from due
+          where list_id in (select o_orderkey from orders where o_orderstatus<>'F'))
         join orders on o_orderkey=list_id left join (select list_id as k, cast(sum(item_count) as bigint) as n, cast(sum(subtotal_cop) as bigint) as total
-          from lt group by 1) on k=list_id where rank<=56 and o_orderstatus<>'F'""",
+          from lt group by 1) on k=list_id where rank<=56""",
         REMIND, DUE, SNAP, CUR, ITEM, PROF, PRICED, LT,
     ),
 )
@@ -465,20 +465,24 @@ def match_fixes(spark, sf):
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"larder-{name}-")
-    return os.path.join(shared, "larder", name, spark.sparkContext.applicationId, str(abs(hash(os.urandom(8)))))
+    """A new folder in the session's shared folder."""
+    return os.path.join(shared_folder(spark), "larder", name, spark.sparkContext.applicationId, str(abs(hash(os.urandom(8)))))
 
 
 @query(
     "price_change_stream",
-    """select l_partkey::varchar as store_product_id, count(*) filter (decision='new') as new_prices from (
-       select l_partkey, 'new' as decision from lineitem group by l_partkey, l_linenumber) group by 1""",
+    """with recursive """ + SNAP + """,
+      r as (select *, row_number() over (partition by store_product_id, region_code order by captured_at, price_cop) as rn from snap),
+      f as (select store_product_id, region_code, captured_at, rn, price_cop, null::integer as previous_cop, 'new' as decision, price_cop as held
+          from r where rn=1
+        union all select store_product_id, region_code, captured_at, rn, price_cop, held, d, case when d in ('same','jump') then held else price_cop end
+          from (select r.*, f.held, case when r.price_cop=f.held then 'same' when r.price_cop>=f.held*10 or r.price_cop*10<=f.held then 'jump'
+            else 'changed' end as d from f join r on r.store_product_id=f.store_product_id and r.region_code=f.region_code and r.rn=f.rn+1))
+      select store_product_id::varchar as store_product_id, region_code, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, price_cop,
+        previous_cop, decision from f where decision<>'same'""",
 )
 def price_change_stream(spark, sf):
-    """Lines stream in, the detector keeps the last accepted price by product and region; first prices are counted."""
+    """Lines stream in, the detector keeps the last accepted price by product and region; every change and jump comes out."""
     batch = v.read(spark, sf, "lineitem")
     lines = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     staged = lines.select(
@@ -497,7 +501,8 @@ def price_change_stream(spark, sf):
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     changes = spark.read.schema(jobs.CHANGES).parquet(f"{folder}/out")
-    return changes.groupBy("store_product_id").agg(F.count_if(F.col("decision") == "new").alias("new_prices"))
+    stamp = F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at")
+    return changes.select("store_product_id", "region_code", stamp, "price_cop", "previous_cop", "decision")
 
 
 @query(

@@ -360,13 +360,16 @@ def equivalents_by_key(spark, sf):
 @query(
     "equivalents_fuzzy",
     with_ctes(
-        """select a.gid as group_a, b.gid as group_b, a.text as text_a, b.text as text_b, a.members as members_a,
-        b.members as members_b, i::double/(len(a.sh)+len(b.sh)-i)::double as jaccard from sh a join sh b on a.block=b.block and a.gid<b.gid,
+        """select gid as group_a, gid as group_b, text as text_a, text as text_b, members as members_a, members as members_b,
+          1.0::double as jaccard, barcodes, stores from g where members>1 and (barcodes<>1 or coded<members)
+        union all select a.gid as group_a, b.gid as group_b, a.text as text_a, b.text as text_b, a.members as members_a,
+        b.members as members_b, i::double/(len(a.sh)+len(b.sh)-i)::double as jaccard, null, null from sh a join sh b on a.block=b.block and a.gid<b.gid,
         lateral (select len(list_intersect(a.sh, b.sh)) as i)
         where i::double/(len(a.sh)+len(b.sh)-i)>=0.6-1e-9 and not coalesce(a.ean=b.ean, false)""",
         PROD,
         """g as (select block, text, min(id) as gid, count(*) as members,
-          case when min(ean)=max(ean) then min(ean) end as ean from (
+          case when min(ean)=max(ean) then min(ean) end as ean, count(distinct ean) as barcodes, count(distinct store_id) as stores,
+          count(ean) as coded from (
           select *, unit_kind||'|'||category_id as block, trim(regexp_replace(lower(name||' '||brand), '[^a-z0-9]+', ' ', 'g')) as text
           from prod) group by 1,2)""",
         """sh as (select *, list_distinct(list_transform(range(1, length(text)-1), lambda x: substr(text, x::int, 3))) as sh from g)""",

@@ -28,6 +28,7 @@ def local_session(cores: int | str = 8, name: str = "larder", memory: str = "8g"
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,10 +50,5 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one task per core for CPU-bound columns over a small input; many-file inputs come back as they are.
-
-    A file with a single row group is one task however many cores there are. The extra exchange is only added when the
-    scan has fewer splits than the session has cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Even tasks for CPU-bound columns, sized while the query runs: a file with a single row group is one task otherwise."""
+    return df.hint("rebalance")

@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+FILE_RECORDS = 5_000_000
 
 
-def _spread(df: DataFrame, folder: str, key: str, files: int) -> DataFrame:
-    """Spread each folder over ``files`` tasks, so a folder with a third of all rows is not one task's work."""
-    salt = F.pmod(F.xxhash64(key), F.lit(files))
-    return df.withColumn("_salt", salt).repartition(folder, "_salt").drop("_salt")
-
-
-def write_catalog(catalog: DataFrame, path: str, files: int = SALTS) -> None:
+def write_catalog(catalog: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
     """Replace only the store folders present in ``catalog``; the others stay as they are.
 
-    Stage the rows elsewhere first when they were read from ``path`` itself (see ``plans.price_run``).
+    Rows are dealt by store, where adaptive plans split a large store by size over as many tasks as it needs. Stage the
+    rows elsewhere first when they were read from ``path`` itself (see ``plans.price_run``).
     """
     (
-        _spread(catalog, "store_slug", "external_id", files)
+        catalog.hint("rebalance", "store_slug")
         .sortWithinPartitions("store_slug", "category_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_records)
         .partitionBy("store_slug")
         .parquet(path)
     )
 
 
-def append_prices(snapshots: DataFrame, path: str, run_id: str, files: int = SALTS) -> None:
+def append_prices(snapshots: DataFrame, path: str, run_id: str, file_records: int = FILE_RECORDS) -> None:
     """Add a run's snapshots under its own folder, so the same run written twice is still written once."""
     month = F.date_format("captured_at", "yyyy-MM")
     (
-        _spread(snapshots.withColumn("captured_month", month).withColumn("run_id", F.lit(run_id)), "captured_month", "id", files)
+        snapshots.withColumn("captured_month", month)
+        .withColumn("run_id", F.lit(run_id))
+        .hint("rebalance", "captured_month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_records)
         .partitionBy("captured_month", "run_id")
         .parquet(path)
     )

@@ -39,25 +39,23 @@ class PriceChanges(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         previous = self.price.get()[0] if self.price.exists() else None
-        for batch in rows:
-            out = []
-            for row in batch.sort_values(["captured_at", "price_cop"]).itertuples(index=False):
-                price = int(row.price_cop)
-                if previous == price:
-                    continue
-                jump = previous is not None and (
-                    price >= previous * fixed.PRICE_JUMP or price * fixed.PRICE_JUMP <= previous
-                )
-                decision = "new" if previous is None else "jump" if jump else "changed"
-                listed = None if pd.isna(row.list_price_cop) else int(row.list_price_cop)
-                out.append((key[0], key[1], price, listed, row.captured_at, previous, decision))
-                if not jump:
-                    previous = price
-            if out:
-                frame = pd.DataFrame(out, columns=_NAMES)
-                for name in ("list_price_cop", "previous_cop"):
-                    frame[name] = frame[name].astype("Int64")
-                yield frame
+        # a key's rows of one micro-batch may come in several pieces and in any order: they are put in order of time together
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["captured_at", "price_cop"]).itertuples(index=False):
+            price = int(row.price_cop)
+            if previous == price:
+                continue
+            jump = previous is not None and (price >= previous * fixed.PRICE_JUMP or price * fixed.PRICE_JUMP <= previous)
+            decision = "new" if previous is None else "jump" if jump else "changed"
+            listed = None if pd.isna(row.list_price_cop) else int(row.list_price_cop)
+            out.append((key[0], key[1], price, listed, row.captured_at, previous, decision))
+            if not jump:
+                previous = price
+        if out:
+            frame = pd.DataFrame(out, columns=_NAMES)
+            for name in ("list_price_cop", "previous_cop"):
+                frame[name] = frame[name].astype("Int64")
+            yield frame
         if previous is not None:
             self.price.update((previous,))
 
@@ -69,8 +67,8 @@ def price_change_stream(staged: DataFrame, current: DataFrame | None = None) ->
     """Snapshots to append, and refused jumps, as prices stream in (store_product_id, region_code, price_cop,
     list_price_cop, captured_at). ``current`` seeds the state with the published prices.
 
-    Rows of one key are taken in the order they arrive, and by time inside each Arrow batch; the state is one number per
-    key, and a key's rows stream past it without being gathered.
+    Rows of one key are taken micro-batch by micro-batch, and by time inside each one. The state is one number per key;
+    a task holds one key's rows of one micro-batch, whose size the source's trigger options bound.
     """
     start = current.groupBy("store_product_id", "region_code") if current is not None else None
     return staged.groupBy("store_product_id", "region_code").transformWithStateInPandas(

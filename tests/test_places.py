@@ -104,9 +104,9 @@ def hit(road, lat, lon, box, rank=26, house=None, city="Medellín", state="Antio
 
 
 def test_addresses_and_decisions(spark):
-    cases = {"Diagonal 7 No 14B – 20": ("Diagonal 7", "Carrera 14B", "20"), "Carrera 6 Bis # 12-30": ("Carrera 6 Bis", "Calle 12", "30"),
-             "CARRERA 87 C # 71 A 10 SUR": ("Carrera 87C", "Calle 71A Sur", "10"), "Calle 10 # 5-51 Este": ("Calle 10", "Carrera 5 Este", "51"),
-             "Carrera 14 N.145-22 SALADO": ("Carrera 14", "Calle 145", "22"), "AVENIDA 51N # 156-158": ("Avenida 51N", None, None), "Mall Río": (None, None, None)}
+    cases = {"Diagonal 12 No 8A – 35": ("Diagonal 12", "Carrera 8A", "35"), "Carrera 9 Bis # 21-14": ("Carrera 9 Bis", "Calle 21", "14"),
+             "CARRERA 63 D # 44 B 17 SUR": ("Carrera 63D", "Calle 44B Sur", "17"), "Calle 18 # 6-73 Este": ("Calle 18", "Carrera 6 Este", "73"),
+             "Carrera 19 N.128-41 ROSALES": ("Carrera 19", "Calle 128", "41"), "AVENIDA 37N # 112-118": ("Avenida 37N", None, None), "Plaza Norte": (None, None, None)}
     df = spark.createDataFrame([(a,) for a in cases], "address string")
     got = gc.parse_addresses(df).select("address", gc.street_label(F.col("street")).alias("s"), gc.street_label(F.col("cross")).alias("c"), "plate")
     assert {r.address: (r.s, r.c, r.plate) for r in got.collect()} == cases

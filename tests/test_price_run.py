@@ -59,7 +59,7 @@ def empty(spark):
 
 def test_run_upserts_prices_and_repeats_nothing(spark, tmp_path, aisles, categories):
     land(tmp_path, "exito", "10/1", 1, [
-        product("1", "Arroz DIANA x 500g", 4200.4, ean="7702511000014", listed=5000),
+        product("1", "Lenteja DIANA x 500g", 4200.4, ean="7702511000014", listed=5000),
         product(2, "Leche entera (900 ml)", 3900, brand="Sin marca", quantity=0),
         product("3", "Galleta leche", 0),
         {"productId": "4", "items": []},
@@ -71,7 +71,7 @@ def test_run_upserts_prices_and_repeats_nothing(spark, tmp_path, aisles, categor
     first = run(spark, tmp_path, aisles, categories, catalog, current, day1())
     rows = {r.external_id: r for r in first.catalog.collect()}
     assert set(rows) == {"1", "2", "5"}
-    assert rows["1"].name == "Arroz x 500g" and rows["1"].brand == "Diana" and rows["1"].ean == "7702511000014"
+    assert rows["1"].name == "Lenteja x 500g" and rows["1"].brand == "Diana" and rows["1"].ean == "7702511000014"
     assert (rows["1"].unit_measure, int(rows["1"].unit_value)) == ("g", 500)
     assert rows["2"].source_bucket == "viveres" and rows["2"].brand is None and not rows["2"].is_available
     assert rows["5"].category_id == "leche"
@@ -159,7 +159,7 @@ def test_shopify_statuses(spark, tmp_path):
                 "variants": [{"price": price, "available": True, **variant}], "images": [{"src": "https://x.test/a.png"}]}
 
     page = {"products": [
-        item(1, "GALLETA ANTOJOS 170G PROVOCACION", "8290.00", ["Promo", "abarrotes"], compare_at_price="9000.00", barcode=" 77025110 "),
+        item(1, "GALLETA MERIENDA 170G TENTACION", "8290.00", ["Promo", "abarrotes"], compare_at_price="9000.00", barcode=" 77025110 "),
         item(2, "X", "8.290", ["ABARROTES"]), item(3, "X", "82.50", ["ABARROTES"]), item(4, "X", "0", ["ABARROTES"]),
         item(5, "RON 750M", "40000", ["Licores y Cigarrillos", "ABARROTES"]), item(6, "COLA 400ML", "2000", "Nuevo, Otro", "gaseosa"),
         item(7, "COSA", "2000", []), item(8, "COSA", "2000", {"a": 1}), {"id": 9, "title": "COSA", "variants": []},
@@ -175,7 +175,7 @@ def test_shopify_statuses(spark, tmp_path):
     assert [(k, got[k].status) for k in sorted(got)] == [
         (1, "ok"), (2, "failed"), (3, "failed"), (4, "skipped"), (5, "skipped"), (6, "ok"), (7, "skipped"), (8, "failed"), (9, "failed"),
     ]
-    assert got[1].name == "Galleta antojos provocacion" and got[1].price_cop == 8290 and got[1].list_price_cop == 9000
+    assert got[1].name == "Galleta merienda tentacion" and got[1].price_cop == 8290 and got[1].list_price_cop == 9000
     assert got[1].ean == "77025110" and got[1].source_bucket == "viveres" and got[1].category_slug == "galletas"
     assert got[5].reason == "out of scope" and got[7].reason == "no aisle in the source" and got[6].source_bucket == "bebidas"
 
