@@ -32,7 +32,7 @@ MIN_BITS = 16
 MAX_BITS = 28
 CHUNK_BITS = 20
 #: Windows that a task holds before it deals them out, and windows that a task of the exact grouping is to get.
-HOLD = 1 << 20
+HOLD = 1 << 19
 BUCKET_WINDOWS = 1 << 19
 LAST = np.iinfo(np.int64).max
 

@@ -12,12 +12,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
+# Batches come and go: their memory goes back to the system instead of into a pool that each worker keeps.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
