@@ -132,7 +132,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         order = np.lexsort((rows["ids_crc32"], rows["piece"], rows["doc_id"].fillna(-1), -rows["length"]))
         rows = rows.iloc[order]
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-        return rows[names].assign(sequence_id=(key[0] << 32) + bins, offset=offsets)
+        return rows[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
     # hash() deals the shards out; a second hash, because the exchange hashes the shard itself
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
