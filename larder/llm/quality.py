@@ -156,14 +156,15 @@ def label_model(patterns: dict[int, int], turns: int = 100) -> tuple[np.ndarray,
     votes = np.array(sorted(patterns))[:, None] // (3 ** np.arange(len(LABELLERS))) % 3
     weight = np.array([patterns[p] for p in sorted(patterns)], dtype=np.float64)
     kinds = len(LABELLERS) + 1
-    share = np.append(START_GOOD, np.full(kinds - 1, (1 - START_GOOD) / (kinds - 1)))
+    real = np.append(1.0, (votes == 2).any(axis=0))  # a labeller that never blames a text has no kind of its own
+    share = np.append(START_GOOD, np.full(kinds - 1, (1 - START_GOOD) / (kinds - 1))) * np.maximum(real, 1e-12)
     table = np.ones((kinds, len(LABELLERS), 3))
     table[0, :, 2], table[1:, :, 2] = START_WRONG, START_OTHER
     table[np.arange(1, kinds), np.arange(kinds - 1), 2] = START_OWN
     table[:, :, 1] = 1 - table[:, :, 2]
     for _ in range(turns):
         part = kind_posteriors(share, table, votes) * weight[:, None]
-        share = (part.sum(axis=0) + 1) / (weight.sum() + kinds)
+        share = np.maximum((part.sum(axis=0) + 1) / (weight.sum() + kinds) * real, 1e-12)
         counts = np.stack([(votes == v).T.astype(np.float64) @ part for v in (1, 2)], axis=2).transpose(1, 0, 2) + 0.5
         table[:, :, 1:] = counts / counts.sum(axis=2, keepdims=True)
     return share, table
