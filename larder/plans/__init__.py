@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("price_queries", "text_queries", "place_queries", "branch_queries")
+MODULES = ("price_queries", "text_queries", "place_queries", "branch_queries", "page_queries")
 
 
 def load_queries():

@@ -6,7 +6,7 @@ expected JSON gives one row in the hole table instead of silently ending its lis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import schemas
@@ -25,18 +25,23 @@ def _pages(spark: SparkSession, path: str, folders: str) -> DataFrame:
     )
 
 
+def _list_of(record: str) -> Column:
+    """A page that is a JSON list, else null: a lone object would be read as a list of one."""
+    return F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{record}>"))
+
+
 def _holes(pages: DataFrame, store, reason: str) -> DataFrame:
     return pages.select("url", store.alias("store"), F.lit("dropped").alias("outcome"), F.lit(reason).alias("reason"))
 
 
 def read_vtex_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(raw products, page log, holes) from ``store=/aisle_id=/page_no=`` folders of JSON arrays.
+    """(raw products, page log, holes) from ``store=/aisle_id=/page_no=`` folders of JSON arrays."""
+    return vtex_pages(_pages(spark, path, "store string, aisle_id string, page_no int"))
 
-    Records without an id are kept, so that they count as unreadable.
-    """
-    pages = _pages(spark, path, "store string, aisle_id string, page_no int").withColumn(
-        "body", F.from_json("value", f"array<{schemas.VTEX_PRODUCT}>")
-    )
+
+def vtex_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from page texts (``value``). Records without an id are kept, so that they count as unreadable."""
+    pages = pages.withColumn("body", _list_of(schemas.VTEX_PRODUCT))
     return _vtex_rows(pages), _vtex_log(pages), _holes(pages.where("body is null"), F.col("store"), "page is not a list")
 
 
@@ -52,9 +57,12 @@ def _vtex_log(pages: DataFrame) -> DataFrame:
 
 def read_shopify_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(raw products, holes) from ``store=/page_no=`` folders of ``{products: [...]}`` pages."""
-    pages = _pages(spark, path, "store string, page_no int").withColumn(
-        "body", F.from_json("value", f"struct<products array<{schemas.SHOPIFY_PRODUCT}>>")["products"]
-    )
+    return shopify_pages(_pages(spark, path, "store string, page_no int"))
+
+
+def shopify_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from page texts (``value``)."""
+    pages = pages.withColumn("body", F.from_json("value", f"struct<products array<{schemas.SHOPIFY_PRODUCT}>>")["products"])
     rows = pages.select("store", "page_no", F.posexplode("body").alias("pos", "product")).select(
         "store", "page_no", "pos", "product.*"
     )
@@ -63,9 +71,12 @@ def read_shopify_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 def read_pickup_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(raw points, page log, holes) from ``store=/point=/page_no=`` folders; coordinates are longitude, latitude."""
-    pages = _pages(spark, path, "store string, point string, page_no int").withColumn(
-        "body", F.from_json("value", schemas.PICKUP_PAGE)
-    )
+    return pickup_pages(_pages(spark, path, "store string, point string, page_no int"))
+
+
+def pickup_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from page texts (``value``)."""
+    pages = pages.withColumn("body", F.from_json("value", schemas.PICKUP_PAGE))
     rows = (
         pages.select("store", "point", "page_no", F.posexplode("body.items").alias("pos", "item"))
         .where("item.pickupPoint is not null")
@@ -79,8 +90,13 @@ def read_pickup_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 def read_locator(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Raw shops (store, pos, raw) of a locator list: ``ara`` is a plain array, ``dollarcity`` wraps its list."""
     pages = spark.read.format("text").option("wholetext", True).load(path).withColumn("url", F.col("_metadata.file_path"))
+    return locator_pages(pages, source)
+
+
+def locator_pages(pages: DataFrame, source: str) -> DataFrame:
+    """The same from page texts (``value``)."""
     if source == "ara":
-        body = F.from_json("value", f"array<{schemas.ARA_SHOP}>")
+        body = _list_of(schemas.ARA_SHOP)
     elif source == "dollarcity":
         body = F.from_json("value", schemas.DOLLARCITY_PAGE)["StoreLocations"]
     else:
@@ -91,12 +107,17 @@ def read_locator(spark: SparkSession, path: str, source: str) -> DataFrame:
 def read_wp_shops(spark: SparkSession, shops: str, towns: str, departments: str) -> DataFrame:
     """Shops with the names of their first town and first department term; a shop without terms keeps nulls."""
     text = lambda path: spark.read.format("text").option("wholetext", True).load(path)
-    terms = lambda path: text(path).select(F.inline(F.from_json("value", f"array<{schemas.WP_TERM}>"))).select(
+    return wp_pages(text(shops), text(towns), text(departments))
+
+
+def wp_pages(shops: DataFrame, towns: DataFrame, departments: DataFrame) -> DataFrame:
+    """The same from page texts (``value``)."""
+    terms = lambda pages: pages.select(F.inline(F.from_json("value", f"array<{schemas.WP_TERM}>"))).select(
         "id", html_to_text(F.col("name")).alias("name")
     ).dropDuplicates(["id"])
     town = terms(towns).select(F.col("id").alias("town_id"), F.col("name").alias("municipality"))
     department = terms(departments).select(F.col("id").alias("department_id"), F.col("name").alias("department"))
-    raw = text(shops).select(F.posexplode(F.from_json("value", f"array<{schemas.WP_SHOP}>")).alias("pos", "raw"))
+    raw = shops.select(F.posexplode(F.from_json("value", f"array<{schemas.WP_SHOP}>")).alias("pos", "raw"))
     tagged = raw.select(
         F.lit("isimo").alias("store"),
         "pos",
@@ -111,7 +132,12 @@ def read_wp_shops(spark: SparkSession, shops: str, towns: str, departments: str)
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
     """Rows of curated shop files in ``store=`` folders; a file must name its source, date and coordinates."""
-    pages = _pages(spark, path, "store string").withColumn("body", F.from_json("value", schemas.CURATED_FILE))
+    return curated_pages(_pages(spark, path, "store string"))
+
+
+def curated_pages(pages: DataFrame) -> DataFrame:
+    """The same from page texts (``value``)."""
+    pages = pages.withColumn("body", F.from_json("value", schemas.CURATED_FILE))
     whole = (
         (strip(F.col("body.source")) != "")
         & F.col("body.verifiedAt").try_cast("date").isNotNull()
@@ -150,6 +176,6 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 200) -
         .option("wholetext", True)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
-        .withColumn("body", F.from_json("value", f"array<{schemas.VTEX_PRODUCT}>"))
+        .withColumn("body", _list_of(schemas.VTEX_PRODUCT))
     )
     return _vtex_rows(pages)
