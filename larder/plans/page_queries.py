@@ -34,7 +34,7 @@ def _vtex(spark, sf):
 
 @query(
     "landed_vtex",
-    """select l_orderkey as page_no, (l_orderkey%7)::varchar as aisle_id, row_number() over (partition by l_orderkey order by l_linenumber)-1 as pos,
+    """select l_orderkey as page_no, (l_orderkey%7)::varchar as aisle_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey::varchar, l_suppkey::varchar, l_extendedprice)-1 as pos,
        l_partkey::varchar as product_id, 'Ítem "a" '||l_suppkey as name, '77'||l_partkey as ean, l_extendedprice as price, l_linenumber>1 as available,
        l_quantity::bigint as quantity from lineitem join orders on o_orderkey=l_orderkey where o_orderstatus<>'F'""",
 )
