@@ -79,16 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Vectors that take part, for the SQL below.
 _VECTORS = """
     select vec_id, embedding, label from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-        and len(list_filter(embedding, x -> x <> 0)) > 0"""
-_DOT = "list_reduce(list_transform(list_zip({0}.embedding, {1}.embedding), z -> z[1]::double * z[2]::double), (p, q) -> p + q)"
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+_DOT = "list_reduce(list_transform(list_zip({0}.embedding, {1}.embedding), lambda z: z[1]::double * z[2]::double), lambda p, q: p + q)"
 
 SQL: dict[str, str] = {
     "op2_nearest_vectors": f"""
         with v as ({_VECTORS}),
         d as (
             select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.embedding, c.embedding),
-                z -> (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)), (p, q) -> p + q)) as score
+                lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)), lambda p, q: p + q)) as score
             from v as q join v as c on q.vec_id <> c.vec_id and len(q.embedding) = len(c.embedding)
             where q.vec_id % 100 = 0
         ),
