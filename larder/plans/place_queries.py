@@ -225,6 +225,19 @@ def geocode_requests(spark, sf):
        from t""",
 )
 def resolve_locations(spark, sf):
+    return _resolved(spark, sf).select("shop_id", F.coalesce("target_problem", "geocode_problem", "precision").alias("outcome"))
+
+
+@query(
+    "location_tally",
+    """select case when p_type='LARGE' then 'address without a street' when p_size<10 then 'no result' when p_size<20 then 'another municipality'
+         when p_size<30 then 'address' when p_size<40 then 'intersection' else 'street' end as outcome, count(*) as shops from part group by 1""",
+)
+def location_tally(spark, sf):
+    return gc.outcome_tally(_resolved(spark, sf))
+
+
+def _resolved(spark, sf):
     """Each product's address gets the answer its size calls for: none, elsewhere, a door, a corner, a short street."""
     targets = _targets(spark, sf)
     size = F.split_part("address_query", F.lit(" "), F.lit(2)).cast("int")
@@ -264,8 +277,39 @@ def resolve_locations(spark, sf):
     # only corners look at the cross street here, so the other sizes do not meet it
     answers = gc.combine_answers(address.unionByName(cross), F.lit("2026-10-01").cast("timestamp"))
     with_cross = targets.withColumn("cross_query", F.when(size.between(30, 39), F.col("cross_query")))
-    resolved = gc.resolve_locations(with_cross, answers)
-    return resolved.select("shop_id", F.coalesce("target_problem", "geocode_problem", "precision").alias("outcome"))
+    return gc.resolve_locations(with_cross, answers)
+
+
+@query(
+    "combined_answers",
+    """with a as (select 'q'||l_partkey as query, l_returnflag='R' as folded, to_timestamp(epoch(l_shipdate)+l_orderkey*8+l_linenumber) as fetched_at,
+          case when l_linenumber>3 then 40 else 2 end as raw_count, [(l_suppkey)||':'||l_linenumber, (l_suppkey+1)||':'||l_linenumber] as hits, l_orderkey, l_linenumber
+          from lineitem),
+       fresh as (select * from a where fetched_at > (select to_timestamp(epoch(max(l_shipdate))) from lineitem) - interval 180 days),
+       e as (select query, arg_max({'h': hits, 'n': raw_count}, fetched_at) as x from fresh where not folded group by 1),
+       f as (select query, arg_max(hits, fetched_at) as h from fresh where folded group by 1)
+       select e.query, e.x.n>=40 as truncated, array_to_string(list_concat(e.x.h, case when e.x.n>=40 and f.h is not null
+         then list_filter(f.h, lambda y: not list_contains(e.x.h, y)) else []::varchar[] end), ',') as hits from e left join f on f.query=e.query""",
+)
+def combined_answers(spark, sf):
+    """Lines are answers: older than 180 days, folded, cut at the limit, or plain; a question is a product."""
+    lines = v.read(spark, sf, "lineitem")
+    none, number = F.lit(None).cast("string"), F.col("l_linenumber").cast("double")
+
+    def hit(more: int):
+        lat = (F.col("l_suppkey") + more).cast("double")
+        return F.struct(
+            lat.alias("lat"), number.alias("lon"), F.lit(26).alias("place_rank"), F.lit("highway").alias("category"), none.alias("type"), none.alias("name"),
+            F.create_map(F.lit("road"), F.lit("x")).alias("address"), F.array(lat, number).alias("boundingbox"))
+
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    answers = lines.select(
+        F.concat(F.lit("q"), F.col("l_partkey").cast("string")).alias("query"), F.when(F.col("l_returnflag") == "R", "folded").otherwise("every").alias("shape"),
+        at.alias("fetched_at"), F.when(F.col("l_linenumber") > 3, 40).otherwise(2).alias("raw_count"), F.array(hit(0), hit(1)).alias("hits"))
+    latest = lines.agg(F.max(F.col("l_shipdate").cast("timestamp"))).first()[0]
+    combined = gc.combine_answers(answers, F.lit(latest))
+    label = F.transform("hits", lambda h: F.concat(h["lat"].cast("long").cast("string"), F.lit(":"), h["lon"].cast("long").cast("string")))
+    return combined.select("query", "truncated", F.array_join(label, ",").alias("hits"))
 
 
 # --- reminders ----------------------------------------------------------------------------------------------------

@@ -478,6 +478,45 @@ def constraint_violations(spark, sf):
     return rows.unionByName(unique).unionByName(q.check_reference(v.read(spark, sf, "orders"), "orders", "o_custkey", parents, "c_custkey"))
 
 
+@query(
+    "table_checks",
+    """with c as (select unnest([{'t': 'store', 'c': case when trim(c_name)='' then 'slug_filled' end}, {'t': 'store', 'c': case when c_mktsegment='BUILDING' then 'source_type' end},
+          {'t': 'store_product', 'c': case when c_custkey%3=0 then 'ean_digits' end}, {'t': 'store_product', 'c': case when c_mktsegment='HOUSEHOLD' then 'name_filled' end},
+          {'t': 'store_product', 'c': case when c_nationkey=3 then 'unit_kind' end}, {'t': 'store_product', 'c': case when c_nationkey=4 then 'unit_measure' end},
+          {'t': 'store_product', 'c': case when c_acctbal<=0 then 'unit_value_positive' end}, {'t': 'store_product', 'c': case when c_nationkey=5 then 'unit_pair' end},
+          {'t': 'price_snapshot', 'c': case when c_acctbal<1 then 'price_positive' end}, {'t': 'price_snapshot', 'c': case when c_custkey%5=0 then 'list_price_positive' end},
+          {'t': 'shopping_list', 'c': case when c_mktsegment='HOUSEHOLD' then 'name_filled' end},
+          {'t': 'list_item', 'c': case when c_acctbal<=0 then 'quantity_positive' end}, {'t': 'list_item', 'c': case when c_custkey%7=0 then 'price_present' end},
+          {'t': 'list_reminder', 'c': case when c_nationkey=6 then 'frequency' end},
+          {'t': 'list_reminder', 'c': case when not (case when c_nationkey%2=0 and c_nationkey<>6 then c_custkey%2=0 else c_custkey%2=1 end) then 'shape' end},
+          {'t': 'list_reminder', 'c': case when c_nationkey%2=1 and c_custkey%4=0 then 'anchor' end},
+          {'t': 'store_branch', 'c': case when c_mktsegment='HOUSEHOLD' then 'name_filled' end}, {'t': 'store_branch', 'c': case when c_nationkey=20 then 'in_country' end},
+          {'t': 'store_branch', 'c': case when c_mktsegment='BUILDING' then 'source' end}]) as x, c_custkey from customer)
+       select x.t as table_name, x.c as "constraint", c_custkey::varchar as key from c where x.c is not null""",
+)
+def table_checks(spark, sf):
+    """Every table's own checks over customers, whose fields break one or the other."""
+    key, nation, balance = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
+    segment = F.col("c_mktsegment")
+    name, whole = F.when(segment == "HOUSEHOLD", " ").otherwise(segment), F.floor(balance).cast("int")
+    monthly = (nation % 2 == 0) & (nation != 6)
+    wide = v.read(spark, sf, "customer").select(
+        "c_custkey", F.col("c_name").alias("slug"), F.when(segment == "BUILDING", "guess").otherwise("api").alias("source_type"),
+        F.when(key % 3 == 0, "77-1").when(key % 3 == 1, "7701234567890").alias("ean"), name.alias("name"),
+        F.when(nation == 3, "length").otherwise("weight").alias("unit_kind"), F.when(nation == 4, "mile").when(nation != 5, "g").alias("unit_measure"),
+        balance.alias("unit_value"), whole.alias("price_cop"), F.when(key % 5 == 0, 0).when(key % 5 == 1, 7).alias("list_price_cop"), balance.alias("quantity"),
+        F.when(key % 7 != 0, 1).alias("price_cop_at_add"),
+        F.when(nation == 6, "daily").when(monthly, "monthly").otherwise("biweekly").alias("frequency"),
+        F.when(key % 2 == 0, 31).alias("day_of_month"), F.when(key % 2 == 1, 7).alias("weekday"), F.when(key % 4 != 0, "2026-01-01").alias("anchor_date"),
+        F.lit(4.6).alias("latitude"), F.when(nation == 20, 2.3).otherwise(-74.0).alias("longitude"), F.when(segment == "BUILDING", "guess").otherwise("osm").alias("source"),
+    )
+    out = None
+    for table in ("store", "store_product", "price_snapshot", "shopping_list", "list_item", "list_reminder", "store_branch"):
+        part = q.check_constraints(wide, table, ["c_custkey"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "write_split",
     """select l_orderkey, l_linenumber, l_partkey, case when l_tax<=0.07 and l_quantity>=2 then '' else
