@@ -417,7 +417,7 @@ TRACK = """track as (select user_id as trip_id, event_id, ts, 4.5::double+value/
     "route_tail",
     with_ctes(
         f"""select trip_id, event_id, cast(round(leg) as bigint) as length_m, cast(round(sum(leg) over (partition by trip_id order by ts desc, event_id desc)/100) as bigint)
-        as remaining_hm from (select *, coalesce({METRES}, 0.0) as leg from (select *, lead(lat) over w as latitude, lead(lng) over w as longitude
+        as remaining_hm from (select *, case when latitude is null then 0.0 else {METRES} end as leg from (select *, lead(lat) over w as latitude, lead(lng) over w as longitude
           from track window w as (partition by trip_id order by ts, event_id)))""",
         TRACK,
     ),
