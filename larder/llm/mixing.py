@@ -124,7 +124,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
     row = kinds.withColumn("mix_source", F.col("source")).drop("source").join(
-        sources, F.col("mix_source").eqNullSafe(F.col("source"))).drop("mix_source")
+        F.broadcast(sources), F.col("mix_source").eqNullSafe(F.col("source"))).drop("mix_source")  # a row per source, made on the driver
     row = row.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("spread")))
     filled = row.where("size > 0")
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
