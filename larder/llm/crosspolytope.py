@@ -74,7 +74,7 @@ def bucket_codes(x: np.ndarray, tables: int, axes: int, probes: int, seed: int =
     return out
 
 
-def _hash(tables: int, axes: int, probes: int):
+def _hash(tables: int, axes: int, probes: int, code_type: str):
     names = [x.split()[0] for x in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _hash(tables: int, axes: int, probes: int):
                         fresh[:, :, p] = (codes[:, :, :p] != codes[:, :, p : p + 1]).all(axis=2)
                     i, tt, p = np.nonzero(fresh)
                     raw = [v.tobytes() for v in x.astype("<f4")]
-                    own = [c.astype("<i8").tobytes() for c in codes]
+                    own = [c.astype(code_type).tobytes() for c in codes]
                     pick = pa.array(rows[i])
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).take(pick), pa.array(np.full(len(i), x.shape[1], np.int32)), pa.array(tt.astype(np.int32)),
@@ -112,7 +112,7 @@ def _first_meeting(x: np.ndarray, y: np.ndarray, t: np.ndarray, code: np.ndarray
     return (first == t) & (there == code)
 
 
-def _verify(cosine: float, tables: int, probes: int):
+def _verify(cosine: float, tables: int, probes: int, code_type: str):
     """Links of the vectors of each bucket: per vector how many, and the least vector that it reaches in this task."""
     names = ["k1", "k2", "links", "r1", "r2"]
 
@@ -136,7 +136,7 @@ def _verify(cosine: float, tables: int, probes: int):
         of = np.repeat(np.arange(len(sizes)), sizes)
         column = lambda k: table.column(k).combine_chunks()
         dims = column("dim").to_numpy()
-        codes = np.frombuffer(b"".join(column("codes").to_pylist()), dtype="<i8").reshape(len(of), tables, probes)
+        codes = np.frombuffer(b"".join(column("codes").to_pylist()), dtype=code_type).reshape(len(of), tables, probes)
         raw = column("vector").to_pylist()
         xs, ys = [], []
         for dim in np.unique(dims):
@@ -169,7 +169,7 @@ def _verify(cosine: float, tables: int, probes: int):
         if not len(x):
             return
         t, code = column("t").to_numpy(), column("code").to_numpy()
-        ok = _first_meeting(codes[x], codes[y], t[x], code[x])
+        ok = _first_meeting(codes[x].astype(np.int64), codes[y].astype(np.int64), t[x], code[x])
         x, y = x[ok], y[ok]
         if not len(x):
             return
@@ -222,7 +222,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     dim = kinds.agg(F.max(F.size("embedding"))).first()[0] or 2
     axis = math.log(2 * max(2, 1 << (dim - 1).bit_length()))
     axes = max(1, min(int(62 * math.log(2) / axis), math.ceil(math.log(max(2, largest / bucket_vectors)) / axis)))
-    dealt = kinds.select("part", "k1", "k2", "n", "embedding").mapInArrow(_hash(tables, axes, probes), ROWS)
+    code_type = "<i4" if axes * axis < 31 * math.log(2) else "<i8"
+    dealt = kinds.select("part", "k1", "k2", "n", "embedding").mapInArrow(_hash(tables, axes, probes, code_type), ROWS)
     key = ["part", "dim", "t", "code"]
     full = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > slice_rows)
     full = full.select(*key, F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices"))
@@ -231,7 +232,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = dealt.withColumns({"i": F.least("salt", "other"), "j": F.greatest("salt", "other")}).drop("slices", "other")
     met = dealt.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
-    links = met.mapInArrow(_verify(cosine, tables, probes), "k1 long, k2 long, links long, r1 long, r2 long")
+    links = met.mapInArrow(_verify(cosine, tables, probes, code_type), "k1 long, k2 long, links long, r1 long, r2 long")
     links = cut_lineage(links)
     counts = links.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     parts = components(links.select(F.struct("k1", "k2").alias("x"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("y")), "x", "y")
