@@ -536,3 +536,74 @@ def owned_items(spark, sf):
     lists = v.lists(spark, sf)
     _, own, _ = li.owned_by(owners, lists, v.items(spark, sf), lists.select("id", "owner_id"))
     return own.select("list_id", "store_product_id", "position")
+
+
+RESAVED = [
+    SNAP, CUR, PROF, PARSED,
+    """lst as (select o_orderkey as list_id, o_custkey, o_orderstatus='F' as archived, o_custkey+case when o_orderkey%10=0 then 1000000 else 0 end as owner
+      from orders where o_orderkey%2=0)""",
+    """e as (select l.list_id, p.store_product_id, p.quantity, p.store_product_id::bigint%3<>0 as in_first, case when p.store_product_id::bigint%2=0
+        then 1+p.store_product_id::bigint%100 end as held, coalesce(a.price_cop, b.price_cop) as today
+      from parsed p join lst l on l.list_id=p.save_id left join prof on prof.id=l.owner
+      left join cur a on a.store_product_id=p.store_product_id::bigint and a.region_code=coalesce(prof.region_code,'NACIONAL')
+      left join cur b on b.store_product_id=p.store_product_id::bigint and b.region_code='NACIONAL')""",
+    """v1 as (select l.list_id, case when coalesce(n,0)=0 then '22023' when archived or owner<>o_custkey then 'P0002' when missing>0 then 'P0001' end as error
+      from lst l left join (select list_id, count(*) as n, count(*) filter (where today is null and held is null) as missing from e where in_first group by 1) x
+      on x.list_id=l.list_id)""",
+    """v2 as (select l.list_id, case when n is null then '22023' when l.list_id%14=0 then '23514' when archived or owner<>o_custkey then 'P0002'
+        when missing>0 then 'P0001' end as error
+      from lst l left join (select e.list_id, count(*) as n, count(*) filter (where today is null and (held is null or (v1.error is null and not in_first))) as missing
+        from e join v1 on v1.list_id=e.list_id group by 1) x on x.list_id=l.list_id)""",
+]
+
+
+def _resaved(spark, sf):
+    """Lists that hold some products at old prices are saved twice: without every third product, then with all again.
+
+    Some lists are archived, some saves are another owner's, some second names are blank.
+    """
+    orders = v.read(spark, sf, "orders").where("o_orderkey % 2 = 0")
+    key = F.col("o_orderkey")
+    lists = orders.select(key.alias("id"), F.col("o_custkey").alias("owner_id"), F.lit("old").alias("name"), (F.col("o_orderstatus") == "F").alias("is_archived"))
+    lines = v.read(spark, sf, "lineitem")
+    held = lines.where("l_partkey % 2 = 0").join(orders, F.col("l_orderkey") == key).select(
+        F.col("l_orderkey").alias("list_id"), F.col("l_partkey").cast("string").alias("store_product_id")).distinct()
+    held = held.select("*", F.lit(1).cast("decimal(10,3)").alias("quantity"), F.lit(0).alias("position"),
+                       (1 + F.col("store_product_id").cast("bigint") % 100).cast("int").alias("price_cop_at_add"))
+    entry = F.struct("l_linenumber", "l_quantity", F.col("l_partkey").cast("string").alias("p"))
+    packed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    shaped = lambda e: F.to_json(F.transform(e, lambda x: F.struct(x["p"].alias("store_product_id"), x["l_quantity"].alias("quantity"))))
+    rows = orders.join(packed, key == F.col("l_orderkey"), "left")
+    owner = F.col("o_custkey") + F.when(key % 10 == 0, 1_000_000).otherwise(0)
+
+    def save(number: int, name, items):
+        return rows.select((key * 2 + number).alias("save_id"), F.lit(number).cast("bigint").alias("seq"), owner.alias("owner_id"), key.alias("list_id"),
+                           F.lit(False).alias("is_new"), name.alias("name"), F.coalesce(items, F.lit("[]")).alias("items"))
+
+    first = save(0, F.lit("again"), shaped(F.filter("e", lambda x: x["p"].cast("bigint") % 3 != 0)))
+    second = save(1, F.when(key % 14 == 0, "  ").otherwise("again"), shaped(F.col("e")))
+    current = _current(spark, sf).withColumn("store_product_id", F.col("store_product_id").cast("string"))
+    return li.apply_list_saves(first.unionByName(second), lists, held, v.profiles(spark, sf), current)
+
+
+@query(
+    "list_resave_verdicts",
+    with_ctes("select list_id*2 as save_id, error from v1 union all select list_id*2+1, error from v2", *RESAVED),
+)
+def list_resave_verdicts(spark, sf):
+    return _resaved(spark, sf)[0].select("save_id", "error")
+
+
+@query(
+    "list_resaves",
+    with_ctes(
+        """select e.list_id, store_product_id, case when v2.error is null or v1.error is null then quantity else 1 end as quantity,
+          case when v2.error is not null and v1.error is not null then held when v2.error is null and v1.error is null and not in_first then today
+            else coalesce(held, today) end as price_cop_at_add
+        from e join v1 on v1.list_id=e.list_id join v2 on v2.list_id=e.list_id
+        where case when v2.error is null then true when v1.error is null then in_first else held is not null end""",
+        *RESAVED,
+    ),
+)
+def list_resaves(spark, sf):
+    return _resaved(spark, sf)[1].select("list_id", "store_product_id", F.col("quantity").cast("double").alias("quantity"), "price_cop_at_add")
