@@ -35,6 +35,10 @@ TOLERANCE = 1e-6
 SLICE_TEXTS = 1024
 SLICE_BYTES = 1 << 23
 PAIRS_AT_ONCE = 1 << 17
+#: From so many pairs of a group on, and up to so many shingles that its texts share, sets are compared by a matrix product.
+DENSE_PAIRS = 1 << 14
+DENSE_SHINGLES = 1 << 13
+SPARSE = 16
 
 
 def shingle_sets(chunk: Chunk, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +136,27 @@ class Sets:
         self.ids = flat % max(1, len(self.vocabulary))
         self.bounds = np.searchsorted(flat, np.arange(len(bounds)) * len(self.vocabulary))
         self.sizes = np.diff(self.bounds)
+        self.dense: np.ndarray | None = None
+
+    def _shared(self) -> np.ndarray | None:
+        """Texts by the shingles that more than one of them has, if these are few enough for a matrix."""
+        if self.dense is None:
+            often = np.flatnonzero(np.bincount(self.ids, minlength=len(self.vocabulary)) > 1)
+            if len(often) > DENSE_SHINGLES:
+                return None
+            place = np.full(len(self.vocabulary), -1, dtype=np.int64)
+            place[often] = np.arange(len(often))
+            row, column = np.repeat(np.arange(len(self.sizes)), self.sizes), place[self.ids]
+            self.dense = np.zeros((len(self.sizes), len(often)), dtype=np.float32)
+            self.dense[row[column >= 0], column[column >= 0]] = 1
+        return self.dense
 
     def similar(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
         """Which pairs reach the threshold; ``x`` is sorted."""
+        if len(x) >= DENSE_PAIRS and (dense := self._shared()) is not None:  # many pairs of like texts: whole numbers by product
+            rows, at = np.unique(x, return_inverse=True)
+            both = (dense[rows] @ dense.T)[at, y].astype(np.int64)
+            return both >= threshold * (self.sizes[x] + self.sizes[y] - both) - 1e-9
         both = np.zeros(len(x), dtype=np.int64)
         mark = np.zeros(len(self.vocabulary), dtype=bool)
         cuts = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x))
@@ -155,11 +177,17 @@ def similar_pairs(shingles: np.ndarray, bounds: np.ndarray, other: np.ndarray, t
     values = min_hashes(shingles, bounds, hashes)
     n = len(values)
     equal = np.zeros((n, n), dtype=np.uint8)
-    first = min(STEP, hashes)
-    for k in range(first):
-        equal += values[:, k][:, None] == values[:, k][None, :]
-    apart = other[:, None] != other[None, :] if (other != other[0]).any() else True
-    x, y = np.nonzero(np.triu((equal >= least[first]) & apart, 1))
+    alive = np.triu(other[:, None] != other[None, :] if (other != other[0]).any() else np.ones((n, n), dtype=bool), 1)
+    first = 0
+    while first < hashes:  # all pairs at once while many are left, then pair by pair
+        stop = min(first + STEP, hashes)
+        for k in range(first, stop):
+            equal += values[:, k][:, None] == values[:, k][None, :]
+        alive &= equal >= least[stop]
+        first = stop
+        if np.count_nonzero(alive) * SPARSE < n * n:
+            break
+    x, y = np.nonzero(alive)
     sets, found = None, ([], [])
     for a in range(0, len(x), PAIRS_AT_ONCE):
         px, py = x[a : a + PAIRS_AT_ONCE], y[a : a + PAIRS_AT_ONCE]
