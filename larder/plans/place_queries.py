@@ -567,5 +567,6 @@ def publish_stream(spark, sf):
     seed = pr.latest_price(v.snapshots(spark, sf).where("false"))
     stream = jobs.publish_batches(snapshots, f"{folder}/current", f"{folder}/checkpoint", seed)
     stream.awaitTermination()
-    return jobs.published(spark, f"{folder}/current", stream.lastProgress["batchId"]).select("store_product_id", "region_code", "price_cop")
+    last = stream.lastProgress["batchId"] if stream.lastProgress else 0  # no batch: what was seeded
+    return jobs.published(spark, f"{folder}/current", last).select("store_product_id", "region_code", "price_cop")
 
