@@ -83,7 +83,60 @@ _VECTORS = """
         and len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 _DOT = "list_reduce(list_transform(list_zip({0}.embedding, {1}.embedding), lambda z: z[1]::double * z[2]::double), lambda p, q: p + q)"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+        pieces as (select doc_id, n, j, substr(h, 800 * j + 1, 1600) as piece from (select *, unnest(range(0, n // 400)) as j from d where n >= 400)),
+        w as (
+            select doc_id, 400 * j + i as i, md5(substr(piece, 2 * i + 1, 800)) as s from (select *, unnest(range(0, 400)) as i from pieces)
+            where 400 * j + i + 400 <= n
+        ),
+        starts as (select doc_id, i from w where s in (select s from w group by s having count(*) > 1)),
+        parts as (
+            select doc_id, i, sum(fresh) over (partition by doc_id order by i) as part from (
+                select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as fresh from starts)
+        ),
+        spans as (select doc_id, part, min(i) as low, max(i) + 400 as high from parts group by doc_id, part),
+        gaps as (select *, coalesce(lag(high) over (partition by doc_id order by low), 0) as before from spans),
+        cut as (
+            select g.doc_id, sum(high - low) as gone, count(*) as n_spans, max(high) as last,
+                string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) as kept
+            from gaps as g join d on d.doc_id = g.doc_id group by g.doc_id
+        )
+        select d.doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join cut on cut.doc_id = d.doc_id""",
+    "op7_jaccard_join": f"""
+        with recursive w as (select doc_id, {_WORDS} as w from documents),
+        s as (
+            select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+            from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)
+        ),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from s as a join s as b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        p as (select x, y from shared join n as a on a.doc_id = x join n as b on b.doc_id = y where k >= 0.8 * (a.n + b.n - k) - 1e-9),
+        reach as (
+            select doc_id as x, doc_id as y from documents
+            union
+            select reach.x, p.y from reach join p on reach.y = p.x
+        ),
+        links as (select x, count(*) as k from p group by x)
+        select r.x as doc_id, min(r.y) as class_id, coalesce(any_value(k), 0) as n_links, r.x = min(r.y) as kept
+        from reach as r left join links on links.x = r.x group by r.x""",
+    "op9_substring_dedup": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+        first as (select s, min(doc_id) as least from win group by s),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) as k from win join first on first.s = win.s where least < doc_id),
+        words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as k from d),
+        kept as (
+            select doc_id, count(*) as n, string_agg(word, ' ' order by k) as t from words
+            where not exists (select 1 from gone where gone.doc_id = words.doc_id and gone.k = words.k) group by doc_id
+        )
+        select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept on kept.doc_id = d.doc_id""",
     "op2_nearest_vectors": f"""
         with v as ({_VECTORS}),
         d as (
