@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from larder.llm import mixing, packing
+from larder.llm import jaccard, mixing, packing, quality
 from larder.llm.queries import tokenizer_path
 from tests.llm.data import documents, messy_texts, words
 
@@ -139,11 +139,32 @@ def test_packing_edges(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
+    """Each stage works on what the one before it kept; its rows are those that its operator's own results call for."""
     docs = documents(spark, [*messy_texts(), *messy_texts()[:20]]).select(*corpus_pipeline.COLUMNS)
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
-        if name != corpus_pipeline.STAGES[-1][0]:
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == corpus_pipeline.COLUMNS
-            docs.write.parquet(f"{tmp_path}/{name}")
-            docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert docs.count() > 0
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = (before, docs)
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
+    before, after = kept["good_quality"]
+    assert ids(after) == ids(quality.score_documents(before).where("kept")) and 0 < after.count() < before.count()
+    before, after = kept["one_of_near_duplicates"]
+    assert ids(after) == ids(jaccard.jaccard_join(before).where("kept")) and after.count() < before.count()
+    before, after = kept["without_repeats"]
+    texts = {r["doc_id"]: r["text"].encode() for r in before.collect()}
+    count = Counter(t[k : k + 400] for t in texts.values() for k in range(len(t) - 399))
+    for r in after.collect():
+        own, left = texts[r["doc_id"]], r["text"].encode()
+        again = any(count[own[k : k + 400]] > 1 for k in range(len(own) - 399))
+        assert (len(left) < len(own)) == again and r["n_chars"] == len(r["text"])
+    before, after = kept["mix_sources"]
+    assert set(ids(after)) <= set(ids(before))
+    total, mixed = (sum(len(WORD.findall(r["text"])) for r in df.collect()) for df in (before, after))
+    assert abs(mixed - 1.5 * total) <= 3 * mixing.BLOCK_WORDS
+    before, after = kept["pack_sequences"]
+    assert after.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
+    assert ids(before) == ids(after.where("piece = 0"))
