@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.components import components
 from larder.llm.groups import roots, whole_groups
-from larder.llm.textbuf import WORD_BASES, Chunk, Spans, byte_spans, chunks, mix
+from larder.llm.textbuf import WORD_BASES, Chunk, Spans, byte_spans, chunks, give_back, mix
 from larder.llm.texts import KEY, distinct_texts, text_key
 from larder.session import cut_lineage
 
@@ -233,6 +233,7 @@ def _compare(shingle: int, threshold: float, hashes: int, tolerance: float):
                     to.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names)
+        give_back()
 
     return run
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.textbuf import chunks
+from larder.llm.textbuf import chunks, give_back
 from larder.llm.tokens import word_ids
 from larder.session import cut_lineage
 
@@ -112,6 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 columns = [doc_ids.take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(own, pa.list_(pa.int64()))] if with_ids else []), names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

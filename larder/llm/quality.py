@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.textbuf import Chunk, byte_spans, chunks, mix
+from larder.llm.textbuf import Chunk, byte_spans, chunks, give_back, mix
 
 #: Documents that the scorer is trained on, about; equal feature sets count once, with their number.
 SAMPLE = 8000
@@ -243,6 +243,7 @@ def _score(weights, names: list[str], text_at: int, keep_from: float, only_kept:
                     yield part.filter(pa.array(kept)).rename_columns(names)
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(kept)], names)
+        give_back()
 
     return run
 

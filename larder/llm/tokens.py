@@ -13,8 +13,8 @@ import numpy as np
 
 from larder.llm.textbuf import BASES, Chunk, Spans, byte_codes
 
-SLOTS = 1 << 21
-ARENA = 1 << 24
+SLOTS = 1 << 20
+ARENA = 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
