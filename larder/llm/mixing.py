@@ -87,7 +87,8 @@ class Mix:
     def pieces(self) -> DataFrame:
         """Drawn blocks with the rows that they cover: words ``from_word`` to ``to_word`` of the row, ``times`` times."""
         size = F.lit(self.block_words)
-        times = self.draws.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+        # draws come from a range of a few shards, so Spark would take them for small and broadcast them: they grow with the mix
+        times = self.draws.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         cover = self.rows.withColumn(
             "block", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("size") - 1) / size)))
         )
