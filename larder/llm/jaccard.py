@@ -172,12 +172,12 @@ class Sets:
         return both >= threshold * (self.sizes[x] + self.sizes[y] - both) - 1e-9
 
 
-def similar_pairs(shingles: np.ndarray, bounds: np.ndarray, other: np.ndarray, threshold: float, hashes: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts of one group, of different ``other`` where that is not all the same, that reach the threshold."""
+def similar_pairs(shingles: np.ndarray, bounds: np.ndarray, slices: np.ndarray | None, threshold: float, hashes: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of one group that reach the threshold; with ``slices``, only pairs of texts of different slices."""
     values = min_hashes(shingles, bounds, hashes)
     n = len(values)
     equal = np.zeros((n, n), dtype=np.uint8)
-    alive = np.triu(other[:, None] != other[None, :] if (other != other[0]).any() else np.ones((n, n), dtype=bool), 1)
+    alive = np.triu(np.ones((n, n), dtype=bool) if slices is None else slices[:, None] != slices[None, :], 1)
     first = 0
     while first < hashes:  # all pairs at once while many are left, then pair by pair
         stop = min(first + STEP, hashes)
@@ -215,12 +215,12 @@ def _compare(shingle: int, threshold: float, hashes: int, tolerance: float):
             k1, k2, n, salt, i, j = (table.column(k).to_numpy() for k in (*KEY, "copies", "salt", "i", "j"))
             texts = table.column("text").combine_chunks()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a < 2:
+                across = i[a] != j[a]  # pairs of one slice are counted where it meets itself, also if the other slice is empty
+                if b - a < 2 or (across and (salt[a:b] == salt[a]).all()):
                     continue
                 (chunk,) = chunks(texts.slice(a, b - a), 1 << 62)
                 shingles, bounds = shingle_sets(chunk, shingle)
-                other = salt[a:b] if i[a] != j[a] else np.zeros(b - a, dtype=np.int64)
-                x, y = similar_pairs(shingles, bounds, other, threshold, hashes, least)
+                x, y = similar_pairs(shingles, bounds, salt[a:b] if across else None, threshold, hashes, least)
                 if not len(x):
                     continue
                 own = slice(a, b)

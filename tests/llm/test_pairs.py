@@ -71,6 +71,17 @@ def test_jaccard_join(spark, limits):
         assert (got[k]["class_id"], got[k]["n_links"], got[k]["kept"]) == (root[k], count[k], root[k] == k), texts[k]
 
 
+@pytest.mark.parametrize("slice_bytes", [4000, 1000, 200])
+def test_slices_without_texts_count_no_link_again(spark, slice_bytes):
+    """A few long near copies in more slices than texts: pairs of one slice are counted once, not with each empty slice."""
+    rng = random.Random(11)
+    base = words(rng, 400).split()
+    texts = [" ".join(base[:k] + ["q"] + base[k + 1 :]) for k in (0, 200, 399)]
+    for few in (texts[:2], texts):
+        got = jaccard.jaccard_join(documents(spark, few), slice_bytes=slice_bytes).collect()
+        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == [(k, 0, len(few) - 1) for k in range(len(few))]
+
+
 def test_one_of_each_class_stays(spark):
     texts = near_texts()
     docs = documents(spark, texts)
