@@ -129,7 +129,7 @@ def repeat_sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int =
 
 
 def _deal(sketch, bits: int, buckets: int, window: int, gram: int):
-    """Candidate windows of a partition of distinct texts, dealt out by gram; each window once, with its least owner.
+    """Candidate windows of a partition of distinct texts, dealt out by gram; each window once for each text of its least owner.
 
     Windows that are looked at through one gram go together, so a text sends and gets a row for many of them.
 
@@ -140,12 +140,14 @@ def _deal(sketch, bits: int, buckets: int, window: int, gram: int):
         h1, h2 = (np.concatenate([x[k] for x in held]) for k in (0, 1))
         doc, gram_hash = (np.concatenate([x[k] for x in held]) for k in (2, 3))
         owner, k1, k2 = (np.concatenate([x[k] for x in docs]) for k in range(3))
-        order = np.lexsort((owner[doc], h2, h1))
+        order = np.lexsort((doc, owner[doc], h2, h1))
         h1, h2, doc, gram_hash = h1[order], h2[order], doc[order], gram_hash[order]
         new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
         least = owner[doc][new][np.cumsum(new) - 1]
         late = owner[doc] > least
-        yield from _rows(0, h1[new], h2[new], doc[new], owner, k1, k2, (gram_hash[new] >> np.uint64(40)).astype(np.int64) % buckets)
+        # texts of the least owner (one id, or null ids) all go on: a smaller document may be in another partition
+        send = ~late & (new | np.append(True, doc[1:] != doc[:-1]))
+        yield from _rows(0, h1[send], h2[send], doc[send], owner, k1, k2, (gram_hash[send] >> np.uint64(40)).astype(np.int64) % buckets)
         if late.any():
             yield from _rows(1, h1[late], h2[late][:0], doc[late], owner, k1, k2, doc[late] % buckets)
 

@@ -6,12 +6,14 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.llm import substrings, suffixes
-from tests.llm.data import documents, messy_texts
+from tests.llm.data import documents, messy_texts, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,3 +101,36 @@ def test_substring_dedup_rows(spark):
     n = len(WORD.findall(text))
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(3, 0), (4, 0), (4, 0), (9, n)]
     assert substrings.dedup_substrings(documents(spark, ["a"]).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("tied", [None, 5])
+def test_texts_of_one_least_owner_are_all_marked(monkeypatch, tied):
+    """Different texts with null ids, or of one id, share a window that a smaller document of another hold has too."""
+    monkeypatch.setattr(substrings, "HOLD", 1)
+    passage = words(random.Random(6), 13)
+    rows = [[(tied, 11, f"a {passage} b {passage}"), (tied, 12, f"c {passage} d"), (tied, 13, f"e {passage}")], [(1, 21, f"f {passage} g")]]
+    sketch = SimpleNamespace(value=np.full((substrings.DEPTH, 1 << 13), 255, dtype=np.uint8))
+    names = ["owner", "k1", "k2", "text"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((o, k, k, text) for o, k, text in r), strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+               for r in rows]
+    dealt = list(substrings._deal(sketch, 16, 1, 13, 6)(iter(batches)))
+    marked = [k for b in substrings._group(iter(dealt)) for k in b.column(0).to_pylist()]
+    assert sorted(marked) == [11, 12, 13]
+
+
+def test_substring_dedup_null_ids_over_partitions(spark):
+    rng = random.Random(7)
+    passage = words(rng, 20)
+    texts = [f"{words(rng, 5)} {passage} {words(rng, 5)}" for _ in range(16)]
+    ids = [0] + [None] * 15
+    names = {"spark.sql.shuffle.partitions": "3", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, x in names.items():
+            spark.conf.set(k, x)
+        got = substrings.dedup_substrings(documents(spark, texts, ids)).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    want = sorted(zip(map(str, ids), words_removed(ids, texts, 13), strict=True))
+    assert sorted((str(r["doc_id"]), (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in got) == want
