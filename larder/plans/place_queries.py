@@ -554,7 +554,7 @@ def price_change_stream(spark, sf):
     with_ctes("select store_product_id, region_code, price_cop from cur", SNAP, CUR),
 )
 def publish_stream(spark, sf):
-    """Snapshots stream in and every micro-batch publishes a new version of the current prices."""
+    """Snapshots stream in over the prices published before a middle date; every micro-batch publishes a new version."""
     batch = v.read(spark, sf, "lineitem")
     lines = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     snapshots = lines.select(
@@ -564,7 +564,9 @@ def publish_stream(spark, sf):
         F.col("l_shipdate").cast("timestamp").alias("captured_at"),
     )
     folder = _scratch(spark, "publish")
-    seed = pr.latest_price(v.snapshots(spark, sf).where("false"))
+    history = v.snapshots(spark, sf)
+    middle = history.agg(F.avg(F.unix_seconds("captured_at"))).first()[0]
+    seed = pr.latest_price(history.where(F.unix_seconds("captured_at") < F.lit(middle)))
     stream = jobs.publish_batches(snapshots, f"{folder}/current", f"{folder}/checkpoint", seed)
     stream.awaitTermination()
     last = stream.lastProgress["batchId"] if stream.lastProgress else 0  # no batch: what was seeded

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from larder import schemas
 from larder.streaming import jobs
 
@@ -62,3 +63,15 @@ def test_abort_gate_keeps_what_was_written(spark, tmp_path):
     except Exception as error:  # noqa: BLE001
         failed = "unreadable limit" in str(error)
     assert failed and spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_publish_stream_merges_into_published_prices(spark, monkeypatch):
+    """The registered query starts from real prices, and newer ones arrive for some of them."""
+    seeds = []
+    publish = jobs.publish_batches
+    monkeypatch.setattr(jobs, "publish_batches", lambda snapshots, path, checkpoint, seed: seeds.append(seed) or publish(snapshots, path, checkpoint, seed))
+    last = queries()["publish_stream"](spark, "/root/testdata/sf0.001")
+    key = ["store_product_id", "region_code"]
+    both = seeds[0].select(*key, F.col("price_cop").alias("before")).join(last, key).collect()
+    assert len(both) == seeds[0].count() > 0
+    assert any(r["before"] != r["price_cop"] for r in both)
