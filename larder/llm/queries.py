@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import crosspolytope, htmltext, jaccard, langid, mixing, neighbours, packing, quality, substrings, suffixes
+from larder.llm import (
+    bytebpe, crosspolytope, crosstoken, htmltext, jaccard, langid, mixing, negatives, neighbours, packing, quality, substrings, suffixes,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary lies on this machine; every executor has it at the same place."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a public vocabulary lies on this machine; every executor has it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_align_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align_vocabularies(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -75,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op11_align_vocabularies": op11_align_vocabularies,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: Vectors that take part, for the SQL below.
 _VECTORS = """
@@ -163,4 +184,27 @@ SQL: dict[str, str] = {
             e.vec_id = min(reach.y) as kept
         from embeddings as e join reach on reach.x = e.vec_id
         group by e.vec_id""",
+    "op13_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: floor(256 * x::double)) as code
+            from embeddings where label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ),
+        s as (
+            select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+                cast(list_reduce(list_transform(list_zip(a.code, c.code), lambda z: z[1] * z[2]), lambda p, q: p + q) as bigint) as score
+            from v as a join v as c on a.vec_id <> c.vec_id and len(a.code) = len(c.code) where a.vec_id % 100 = 0
+        ),
+        p as (
+            select anchor_id, vec_id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        ),
+        n as (
+            select p.*, s.vec_id as negative_id, s.score as negative_score,
+                row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as place
+            from p join s on s.anchor_id = p.anchor_id and not same
+            where 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+        )
+        select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score, negative_score from n where place <= 10""",
 }
