@@ -38,7 +38,7 @@ FAN = 8
 #: Bytes of looked-up tables that are broadcast at once; more tables take further rounds over the texts.
 ROUND_BYTES = 1 << 26
 ENTRY_BYTES = 17
-UNITS = 1 << 19
+UNITS = 3 << 18
 UNIT_LINKS = 1 << 22
 UNIT_BYTES = 1 << 25
 UNITS_AT_ONCE = 1 << 12
@@ -88,10 +88,28 @@ class TwoVocabularies:
         #: Different pairs of each unit, and how often each is linked.
         self.keys, self.links, self.held = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.written = 0
+        self.uses = np.zeros(1 << 12, dtype=np.int64)
+
+    def _thin_out(self) -> None:
+        """Forgets units that were met once; all of them, if that leaves more than half."""
+        names = list(self.known)
+        keep = np.flatnonzero(self.uses[: len(names)] > 1)
+        keys, links, size = self.linked(keep)
+        sizes, groups = self.sizes[:, keep].copy(), [self.groups[k] for k in keep.tolist()]
+        self._forget()
+        if 2 * len(keep) > UNITS or 2 * len(keys) > UNIT_LINKS or 2 * sum(map(len, groups)) > UNIT_BYTES:
+            return
+        sizes[5] = np.cumsum(size) - size
+        self.known = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self._keep(sizes, keys, links, groups)
+
+    def over(self) -> bool:
+        return len(self.known) > UNITS or self.held > UNIT_LINKS or self.written > UNIT_BYTES
 
     def _keep(self, sizes: np.ndarray, keys: np.ndarray, links: np.ndarray, groups: list[bytes]) -> None:
         n, more = len(self.groups), sizes.shape[1]
         if n + more > self.sizes.shape[1]:
+            self.uses = np.append(self.uses, np.zeros(max(more, n), dtype=np.int64))
             self.sizes = np.concatenate((self.sizes, np.zeros((7, max(more, n)), dtype=np.int64)), axis=1)
         if self.held + len(keys) > len(self.keys):
             room = np.zeros(max(len(self.keys), len(keys)), dtype=np.int64)
@@ -168,8 +186,8 @@ class TwoVocabularies:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of some texts, and where each text's begin (one entry more); an empty text has none."""
-        if len(self.known) > UNITS or self.held > UNIT_LINKS or self.written > UNIT_BYTES:
-            self._forget()
+        if self.over():
+            self._thin_out()
         asked: list[str] = []
         bounds = [0]
         for text in texts:
@@ -182,7 +200,9 @@ class TwoVocabularies:
             for u in part:
                 self.known[u] = len(self.known)
             self._learn(part)
-        return np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked)), np.array(bounds)
+        code = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        self.uses[: len(self.known)] += np.bincount(code, minlength=len(self.known))
+        return code, np.array(bounds)
 
     def clean(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which texts have tokens: some units, and all of them agree with their bytes."""
