@@ -63,10 +63,11 @@ def test_two_stages_give_the_suffix_order():
             assert n == min(5, same.index(False))
 
 
-@pytest.mark.parametrize(("length", "core", "hot"), [(40, 20, 1 << 12), (40, 33, 1 << 12), (40, 20, 1), (400, 208, 1 << 12)])
-def test_suffix_dedup(spark, length, core, hot):
+@pytest.mark.parametrize(("length", "core", "group"), [(40, 20, 1 << 12), (40, 33, 1 << 12), (40, 20, 1), (40, 20, 3), (400, 208, 1 << 12)])
+def test_suffix_dedup(spark, length, core, group):
+    """Groups that are split give the same rows as whole ones."""
     texts = messy_texts()
-    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(documents(spark, texts), length, core, hot, with_text=True).collect()}
+    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(documents(spark, texts), length, core, group, with_text=True).collect()}
     assert len(got) == len(texts)
     for k, want in enumerate(bytes_removed(texts, length)):
         assert tuple(got[k][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want, texts[k]
@@ -74,6 +75,27 @@ def test_suffix_dedup(spark, length, core, hot):
             assert got[k]["kept_text"] == (texts[k] or "")
 
 
+@pytest.mark.parametrize("group", [1 << 12, 2])
+def test_suffix_dedup_keeps_first(spark, group):
+    """Of equal strings only those stay that come first by id, then by place."""
+    length, texts = 40, [t for k, t in enumerate(dict.fromkeys(messy_texts())) if t != "ab" * 350]
+    ids = list(range(len(texts)))
+    random.Random(6).shuffle(ids)
+    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(documents(spark, texts, ids), length, 20, group, keep_first=True).collect()}
+    first: dict[bytes, tuple] = {}
+    raw = {i: (t or "").encode() for i, t in zip(ids, texts, strict=True)}
+    for i in sorted(ids):
+        for k in range(len(raw[i]) - length + 1):
+            first.setdefault(raw[i][k : k + length], (i, k))
+    for i, r in raw.items():
+        gone = np.zeros(len(r), dtype=bool)
+        for k in range(len(r) - length + 1):
+            if first[r[k : k + length]] != (i, k):
+                gone[k : k + length] = True
+        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), r
+
+
 def test_suffix_dedup_rows(spark):
     """Repeated rows and null ids are occurrences of their own; an empty table gives no rows."""
     text = messy_texts()[10]
