@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,15 +128,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     names = pieces.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((rows["ids_crc32"], rows["piece"], rows["doc_id"].fillna(-1), -rows["length"]))
-        rows = rows.iloc[order]
-        bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-        return rows[names].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, length = rows.column("doc_id"), rows.column("length").to_numpy()
+        known, ids = ids.is_valid().to_numpy(), ids.fill_null(0).to_numpy()
+        order = np.lexsort((rows.column("ids_crc32").to_numpy(), rows.column("piece").to_numpy(), ids, known, -length))
+        bins, offsets = best_fit_decreasing(length[order], capacity)
+        rows = rows.select(names).take(pa.array(order))
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     # hash() deals the shards out; a second hash, because the exchange hashes the shard itself
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard_", shard).groupBy("shard_").applyInPandas(run, schema)
+    return pieces.withColumn("shard_", shard).groupBy("shard_").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False,
