@@ -25,6 +25,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CEILING = 2.0
 BLOCK_WORDS = 128
+#: Slots that one task writes.
+TASK_SLOTS = 1 << 17
 SHARD_SLOTS = 1 << 16
 #: Words of a source that one task puts in order.
 BUCKET_WORDS = 1 << 19
@@ -166,6 +168,7 @@ def _draws(spark, wanted: list[int], blocks: list[int], seed: int, shard_slots:
     over_base, under_end = np.cumsum(over) - over, np.cumsum(under)
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = counts.repartition(max(1, -(-total // TASK_SLOTS)), "shard")  # draws of one source are written by many tasks
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,20 +207,22 @@ def mixed_documents(docs: DataFrame, mix: Mix, columns: list[str]) -> DataFrame:
     parts = mix.pieces().where("times > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
     parts = parts.groupBy(*of_row, "copy", "turn", "size").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("cuts"))  # at most the row's own blocks
-    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in of_row], F.col("size").alias("size_"), "cuts")
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(of_row)
-    same = F.expr(" and ".join(f"{c} <=> {c}_" for c in of_row))
-    found = texts.join(parts, same).select(*[texts[c] for c in columns], "size_", "cuts")
+    # columns under names of their own, so that extra ones may be called anything
+    own = [f"c{k}" for k in range(len(columns))]
+    parts = parts.select(*[F.col(c).alias(f"part_{c}") for c in of_row], F.col("size").alias("words"), "cuts")
+    texts = docs.select(*[F.col(c).alias(o) for c, o in zip(columns, own, strict=True)], F.col("doc_id").alias("row_doc_id"),
+                        F.col("source").alias("row_source"), F.xxhash64("text").alias("row_text_hash"), F.col("text").alias("whole_text"))
+    texts = texts.dropDuplicates([f"row_{c}" for c in of_row])
+    found = texts.join(parts, F.expr(" and ".join(f"row_{c} <=> part_{c}" for c in of_row)))
     # runs of neighbouring pieces as one cut
     cuts = F.expr("""aggregate(cuts, cast(array() as array<struct<from_word: bigint, to_word: bigint>>), (got, x) ->
         if(size(got) > 0 and element_at(got, -1).to_word = x.from_word,
            concat(slice(got, 1, size(got) - 1), array(struct(element_at(got, -1).from_word as from_word, x.to_word as to_word))),
            concat(got, array(struct(x.from_word as from_word, x.to_word as to_word)))))""")
-    found = found.withColumn("cuts_", cuts)
-    whole = F.expr("size(cuts_) = 1 and cuts_[0].from_word = 0 and cuts_[0].to_word = size_")
-    words = F.when(~whole, F.expr(r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)"))
-    found = found.withColumn("words_", words).withColumn("text", F.when(whole, F.col("text")).otherwise(F.expr(
-        "array_join(transform(cuts_, c -> array_join(slice(words_, cast(c.from_word + 1 as int), cast(c.to_word - c.from_word as int)), ' ')), '\n')")))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*columns)
+    found = found.withColumn("runs", cuts)
+    whole = F.expr("size(runs) = 1 and runs[0].from_word = 0 and runs[0].to_word = words")
+    listed = F.when(~whole, F.expr(r"regexp_extract_all(whole_text, '([^\\x20\\x09-\\x0D]+)', 1)"))
+    found = found.withColumn("listed", listed).withColumn("mixed_text", F.when(whole, F.col("whole_text")).otherwise(F.expr(
+        "array_join(transform(runs, c -> array_join(slice(listed, cast(c.from_word + 1 as int), cast(c.to_word - c.from_word as int)), ' ')), '\n')")))
+    kept = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("long")}
+    return found.select(*[kept.get(c, F.col(o)).alias(c) for c, o in zip(columns, own, strict=True)])
