@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["k1", "k2"]
+BATCH_TEXTS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few hundred at a time: a batch is held by the executor and by its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_TEXTS))
 
 
 def text_key(text: str = "text") -> list[Column]:

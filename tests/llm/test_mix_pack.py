@@ -136,6 +136,19 @@ def test_packing_edges(spark):
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("2", 1), ("3", 2), ("3", 2), ("None", 1)]
     assert len({r["sequence_id"] for r in rows}) == 1
     assert packing.pack_documents(docs.where("false"), tokenizer_path()).count() == 0
+    ids = [9007199254740993, 9007199254740995, None, -1, 0]
+    rows = packing.pack_documents(documents(spark, ["a"] * 5, ids), tokenizer_path()).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids)  # null beside ids that no double holds
+
+
+def test_mixed_documents_of_any_columns(spark):
+    """Extra columns whose names clash with those used inside are kept as they are."""
+    docs = documents(spark, [words(random.Random(k), 40) for k in range(30)])
+    names = ["doc_id_", "text_hash_", "source_", "words_", "cuts_", "size_", "part_doc_id", "row_doc_id", "runs", "listed", "mixed_text", "c0"]
+    docs = docs.select("*", *[docs.doc_id.cast("string").alias(c) for c in names])
+    columns = [*corpus_pipeline.COLUMNS, *names]
+    rows = mixing.mixed_documents(docs, mixing.plan_mix(docs), columns).collect()
+    assert rows and all(r[c] == str(r["doc_id"]) for r in rows for c in names)
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -155,12 +168,28 @@ def test_pipeline_stages(spark, tmp_path):
     before, after = kept["one_of_near_duplicates"]
     assert ids(after) == ids(jaccard.jaccard_join(before).where("kept")) and after.count() < before.count()
     before, after = kept["without_repeats"]
-    texts = {r["doc_id"]: r["text"].encode() for r in before.collect()}
-    count = Counter(t[k : k + 400] for t in texts.values() for k in range(len(t) - 399))
-    for r in after.collect():
-        own, left = texts[r["doc_id"]], r["text"].encode()
-        again = any(count[own[k : k + 400]] > 1 for k in range(len(own) - 399))
-        assert (len(left) < len(own)) == again and r["n_chars"] == len(r["text"])
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    passage, first = corpus_pipeline.PASSAGE_BYTES, {}
+    for i in sorted(texts):
+        raw = texts[i].encode()
+        for k in range(len(raw) - passage + 1):
+            first.setdefault(raw[k : k + passage], (i, k))
+    want = {}
+    for i, text in texts.items():
+        raw = text.encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for k in range(len(raw) - passage + 1):
+            if first[raw[k : k + passage]] != (i, k):
+                gone[k : k + passage] = True
+        at, left = 0, ""
+        for sign in text:  # a sign stays unless all of its bytes go
+            size = len(sign.encode())
+            left += "" if gone[at : at + size].all() else sign
+            at += size
+        if not len(raw) or not gone.all():
+            want[i] = left
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in after.collect()) and want != texts
     before, after = kept["mix_sources"]
     assert set(ids(after)) <= set(ids(before))
     total, mixed = (sum(len(WORD.findall(r["text"])) for r in df.collect()) for df in (before, after))
