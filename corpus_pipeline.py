@@ -9,38 +9,49 @@ from pyspark.sql import functions as F
 
 from larder.llm import jaccard, mixing, packing, quality, suffixes
 from larder.llm.queries import tokenizer_path
+from larder.llm.texts import small_batches
 from larder.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that may stand once in the corpus: some thirty words or more, so that passages of fifty always hold one.
+PASSAGE_BYTES = 200
+PASSAGE_CORE = 56
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    small_batches(spark)
     return quality.good_documents(docs, COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard similarity 0.8 on five-word shingles join, the one of least id."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that start elsewhere, too; a document of which nothing is left goes.
+    """Documents without passages of 200 bytes that an earlier document, or an earlier part of it, has; one of which nothing is
+    left goes.
 
-    A character that such a string only partly covers stays.
+    The occurrence in the document of least id stays. A character that a passage only partly covers stays.
     """
-    left = suffixes.dedup_suffixes(docs, with_text=True, columns=[c for c in COLUMNS if c not in ("text", "n_chars")])
+    small_batches(spark)
+    kept = [c for c in COLUMNS if c not in ("text", "n_chars")]
+    left = suffixes.dedup_suffixes(docs, PASSAGE_BYTES, PASSAGE_CORE, with_text=True, columns=kept, keep_first=True)
     left = left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return left.where("n_removed = 0 or n_removed < n_bytes").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: sources by target weights, a row for each time a document is taken."""
+    small_batches(spark)
     return mixing.mixed_documents(docs, mixing.plan_mix(docs), COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
