@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from larder.llm import substrings, suffixes
+from larder.llm.texts import text_key
 from tests.llm.data import documents, messy_texts, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,14 +78,17 @@ def test_suffix_dedup(spark, length, core, group):
 
 @pytest.mark.parametrize("group", [1 << 12, 2])
 def test_suffix_dedup_keeps_first(spark, group):
-    """Of equal strings only those stay that come first by id, then by place."""
+    """Of equal strings only those stay that come first by the text's hash, then by place; copies of a text are one text."""
     length, texts = 40, [t for k, t in enumerate(dict.fromkeys(messy_texts())) if t != "ab" * 350]
     ids = list(range(len(texts)))
-    random.Random(6).shuffle(ids)
-    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(documents(spark, texts, ids), length, 20, group, keep_first=True).collect()}
+    docs = documents(spark, texts + texts[9:12] * 3, ids + [ids[9], 1000, -5, *range(2000, 2006)])
+    rows = suffixes.dedup_suffixes(docs, length, 20, group, keep_first=True).collect()
+    assert len(rows) == len(texts) + 9
+    got = {r["doc_id"]: r for r in rows}
     first: dict[bytes, tuple] = {}
     raw = {i: (t or "").encode() for i, t in zip(ids, texts, strict=True)}
-    for i in sorted(ids):
+    order = {r["doc_id"]: (r["h1"], r["h2"]) for r in docs.select("doc_id", *[c.alias(f"h{k}") for k, c in enumerate(text_key(), 1)]).collect()}
+    for i in sorted(ids, key=order.__getitem__):
         for k in range(len(raw[i]) - length + 1):
             first.setdefault(raw[i][k : k + length], (i, k))
     for i, r in raw.items():

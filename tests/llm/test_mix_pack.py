@@ -13,6 +13,7 @@ import pytest
 import corpus_pipeline
 from larder.llm import jaccard, mixing, packing, quality
 from larder.llm.queries import tokenizer_path
+from larder.llm.texts import text_key
 from tests.llm.data import documents, messy_texts, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,7 +171,8 @@ def test_pipeline_stages(spark, tmp_path):
     before, after = kept["without_repeats"]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     passage, first = corpus_pipeline.PASSAGE_BYTES, {}
-    for i in sorted(texts):
+    order = {r["doc_id"]: (r["h1"], r["h2"]) for r in before.select("doc_id", *[c.alias(f"h{k}") for k, c in enumerate(text_key(), 1)]).collect()}
+    for i in sorted(texts, key=order.__getitem__):
         raw = texts[i].encode()
         for k in range(len(raw) - passage + 1):
             first.setdefault(raw[k : k + passage], (i, k))
