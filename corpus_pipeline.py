@@ -31,10 +31,9 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 200 bytes that an earlier document, or an earlier part of it, has; one of which nothing is
-    left goes.
+    """Documents with one occurrence left of each passage of 200 bytes that repeats; a document of which nothing is left goes.
 
-    The occurrence in the document of least id stays. A character that a passage only partly covers stays.
+    A character that a removed passage only partly covers stays.
     """
     small_batches(spark)
     kept = [c for c in COLUMNS if c not in ("text", "n_chars")]
