@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions.money import lookup
-from larder.functions.rules import Rule, earliest_match, first_match, layer
+from larder.functions.rules import Rule, RuleIndex, earliest_match, first_match, layer
 from larder.functions.starter_rules import STARTER_RULES
-from larder.functions.text import capitalise_first, fold
+from larder.functions.text import capitalise_first, fold, let
+
+#: A smaller rule table is a pattern per target.
+LOOKED_UP_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -40,28 +43,53 @@ def plain_words(name: Column) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" "))
 
 
-def aisle_of(text: Column, bucket: Column, taxonomy: Taxonomy) -> Column:
-    """The aisle of a prepared text: the strongest layer that has an answer, and never null."""
+def _in_head(name: str) -> bool:
+    return name == "head" or name.startswith("closed:")
+
+
+def aisle_of(text: Column, bucket: Column, taxonomy: Taxonomy, looked_up: int = LOOKED_UP_RULES) -> Column:
+    """The aisle of a prepared text: the strongest layer that has an answer, and never null.
+
+    From ``looked_up`` rules on, every layer's rules are looked up in one reading of the text, so a table of thousands of
+    rules costs little more than a small one; fewer rules are patterns of their own. Both give the same answers.
+    """
     rules = taxonomy.rules
+    if len(rules) < looked_up:
+        def first(name: str, aisle: Column | None = None) -> Column:
+            return first_match(text, layer(rules, name), aisle, head=_in_head(name))
+
+        return _strongest(bucket, taxonomy, first, earliest_match(text, layer(rules, "produce")))
+    body, head = RuleIndex([r for r in rules if not _in_head(r.layer)]), RuleIndex([r for r in rules if _in_head(r.layer)], head=True)
+
+    def chosen(hits: Column) -> Column:
+        def first(name: str, aisle: Column | None = None) -> Column:
+            return head.first(hits["head"], name, aisle) if _in_head(name) else body.first(hits["body"], name, aisle)
+
+        produce = layer(rules, "produce")
+        by_word = all(RuleIndex.is_plain(r) for r in produce)
+        return _strongest(bucket, taxonomy, first, body.earliest(hits["body"], "produce") if by_word else earliest_match(text, produce))
+
+    return let(F.struct(body.hits(text).alias("body"), head.hits(text).alias("head")), chosen)
+
+
+def _strongest(bucket: Column, taxonomy: Taxonomy, first: Callable[..., Column], produce: Column) -> Column:
     own = lookup(bucket, dict(taxonomy.fallback)) if taxonomy.fallback else F.lit(None).cast("string")
     fallback = F.coalesce(own, F.lit(taxonomy.default))
     closed = F.lit(None).cast("string")
     for aisle in taxonomy.closed:
-        given_back = first_match(text, layer(rules, f"closed:{aisle}"), head=True)
-        closed = F.when(bucket == aisle, F.coalesce(given_back, fallback)).otherwise(closed)
-    produce = earliest_match(text, layer(rules, "produce"))
+        closed = F.when(bucket == aisle, F.coalesce(first(f"closed:{aisle}"), fallback)).otherwise(closed)
     authoritative = F.when(bucket.isin(*taxonomy.authoritative), fallback) if taxonomy.authoritative else F.lit(None)
     return F.coalesce(
         authoritative,
-        first_match(text, layer(rules, "pets")),
-        first_match(text, layer(rules, "non_food")),
+        first("pets"),
+        first("non_food"),
         closed,
-        first_match(text, layer(rules, "frozen")),
-        first_match(text, layer(rules, "exceptions")),
-        first_match(text, layer(rules, "head"), bucket, head=True),
-        first_match(text, layer(rules, "form")),
+        first("frozen"),
+        first("exceptions"),
+        first("head", bucket),
+        first("form"),
         F.when(bucket == taxonomy.fresh, produce),
-        first_match(text, layer(rules, "ingredient")),
+        first("ingredient"),
         F.when(bucket.isNull(), produce),
         fallback,
     )

@@ -172,8 +172,8 @@ def _stored(spark, sf) -> DataFrame:
 
 
 def _swept(spark, sf) -> DataFrame:
-    """Shops that the sweep saw: customers with a key that three divides."""
-    return v.read(spark, sf, "customer").where(F.col("c_custkey") % 3 == 0).select(
+    """Shops that the sweep saw: customers with an odd key, and of the stored ones those whose key three divides."""
+    return v.read(spark, sf, "customer").where((F.col("c_custkey") % 3 == 0) | (F.col("c_custkey") % 2 == 1)).select(
         F.concat(F.lit("s"), (F.col("c_nationkey") % 4).cast("string")).alias("store"), _text_key().alias("external_id"), F.concat(F.lit("Shop "), _text_key()).alias("name"),
         F.lit("Calle 1").alias("address"), F.lit("Cali").alias("city"), F.lit(3.0).alias("latitude"), F.lit(-75.0).alias("longitude"),
     )
@@ -181,8 +181,7 @@ def _swept(spark, sf) -> DataFrame:
 
 @query(
     "sweep_branches",
-    """with b as (select 's'||(c_nationkey%4) as store_slug, c_custkey::varchar as external_id, c_custkey%3=0 as seen, c_custkey%2=0 as known, * from customer
-        where c_custkey%2=0 or c_custkey%3=0)
+    """with b as (select 's'||(c_nationkey%4) as store_slug, c_custkey::varchar as external_id, c_custkey%3=0 or c_custkey%2=1 as seen, c_custkey%2=0 as known, * from customer)
       select store_slug, external_id, case when seen then 'Shop '||c_custkey else c_name end as name, case when seen then 'official' else 'osm' end as source,
         case when seen then true else c_acctbal>=0 and store_slug not in ('s0','s2') end as is_active,
         case when seen then '2026-09-01' else '2026-01-01' end as seen_on, case when known then '2025-01-01' else '2026-09-01' end as made_on,

@@ -541,7 +541,7 @@ def owned_items(spark, sf):
 RESAVED = [
     SNAP, CUR, PROF, PARSED,
     """lst as (select o_orderkey as list_id, o_custkey, o_orderstatus='F' as archived, o_custkey+case when o_orderkey%10=0 then 1000000 else 0 end as owner
-      from orders where o_orderkey%2=0)""",
+      from orders)""",
     """e as (select l.list_id, p.store_product_id, p.quantity, p.store_product_id::bigint%3<>0 as in_first, case when p.store_product_id::bigint%2=0
         then 1+p.store_product_id::bigint%100 end as held, coalesce(a.price_cop, b.price_cop) as today
       from parsed p join lst l on l.list_id=p.save_id left join prof on prof.id=l.owner
@@ -562,7 +562,7 @@ def _resaved(spark, sf):
 
     Some lists are archived, some saves are another owner's, some second names are blank.
     """
-    orders = v.read(spark, sf, "orders").where("o_orderkey % 2 = 0")
+    orders = v.read(spark, sf, "orders")
     key = F.col("o_orderkey")
     lists = orders.select(key.alias("id"), F.col("o_custkey").alias("owner_id"), F.lit("old").alias("name"), (F.col("o_orderstatus") == "F").alias("is_archived"))
     lines = v.read(spark, sf, "lineitem")

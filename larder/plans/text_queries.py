@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import money
-from larder.functions.rules import Rule
+from larder.functions.money import lookup
+from larder.functions.rules import Rule, load_rules
 from larder.functions.text import fold_text, html_to_text
 from larder.operators import catalog as cat
 from larder.operators import classify as cl
@@ -15,6 +19,7 @@ from larder.operators import quality as q
 from larder.plans import views as v
 from larder.plans.registry import query
 from larder.plans.views import with_ctes
+from larder.session import shared_folder
 
 
 @query("text_normalise", "select doc_id, md5(strip_accents(lower(text))) as folded from documents")
@@ -206,27 +211,57 @@ def classify_layers(spark, sf):
     return cl.classify(_bucketed(spark, sf), LAYERS).select("p_partkey", "category_slug")
 
 
-#: Names, the bucket their source files them in, and the aisle that the starter rules must give.
-STARTER_CASES = (
-    ("Galleta de arroz", None, "galletas"), ("Papa criolla", "frutas-verduras", "verduras"), ("Papas limón", "otros", "snacks"), ("Papa", None, "verduras"),
-    ("Tomate manzana", "frutas-verduras", "verduras"), ("Manzana tomate", "frutas-verduras", "frutas"), ("Helado de mango", "otros", "congelados"),
-    ("Muslo de pollo", "viveres", "pollo"), ("Cosas varias", "otros", "otros"), ("Hueso de cerdo", "mascotas", "mascotas"), ("Qwerty", "lacteos", "leche"),
-    ("JUGO de mango", None, "jugos"), ("Ambientador vainilla", "congelados", "aseo-hogar"), ("Arepas de choclo", "congelados", "arepas"),
-    ("Gelatina de pera", None, "dulces"),
-)
+#: What a part's two words, and its type as the source's bucket, stand for in the shipped rules.
+STARTER_NOUNS = {"widget": "Queso", "gear": "Galletas", "bolt": "Papa", "ring": "Helado", "rod": "Cosa", "plate": "Arroz", "gizmo": "Detergente", "anvil": "MASCOTA"}
+STARTER_WORDS = {"red": "tomate", "hot": "pimienta", "cold": "congelado", "small": "pequeña", "large": "grande", "new": "nueva", "old": "viejo", "blue": "azul"}
+STARTER_BUCKETS = {"ECONOMY": "frutas-verduras", "LARGE": "congelados", "MEDIUM": "viveres", "PROMO": "lacteos", "STANDARD": "mascotas"}
 
 
 @query(
     "classify_starter",
-    f"""select p_partkey, [{", ".join(f"'{c[2]}'" for c in STARTER_CASES)}][1+p_partkey%{len(STARTER_CASES)}] as category_slug from part""",
+    """with p as (select p_partkey, p_type as t, split_part(p_name,' ',1) as a, split_part(p_name,' ',2) as n from part)
+      select p_partkey, case when t='STANDARD' or n='anvil' then 'mascotas' when n='gizmo' then 'aseo-hogar'
+        when t='LARGE' or n='ring' or a='cold' then 'congelados' when n='gear' then 'galletas'
+        when n='bolt' then case when t in ('ECONOMY','SMALL') then 'verduras' else 'snacks' end
+        when t='ECONOMY' and a='red' then 'verduras' when n='widget' then 'quesos' when n='plate' then 'arroz' when a='hot' then 'sal-condimentos'
+        when t='SMALL' and a='red' then 'verduras' when t='ECONOMY' then 'verduras' when t='PROMO' then 'leche' else 'otros' end as category_slug from p""",
 )
 def classify_starter(spark, sf):
-    """Every product gets one of the names above and its own size; the shipped rules file it."""
-    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in STARTER_CASES]), (1 + F.col("p_partkey") % len(STARTER_CASES)).cast("int"))
-    named = v.read(spark, sf, "part").select("p_partkey", F.concat(pick(0), F.lit(" "), F.col("p_size").cast("string"), F.lit(" g")).alias("name"), pick(1).alias("source_bucket"))
+    """Every product under a shop's words for its own: the shipped rules file it."""
+    word = lambda k, names: lookup(F.split_part("p_name", F.lit(" "), F.lit(k)), names)
+    name = F.concat_ws(" ", word(2, STARTER_NOUNS), word(1, STARTER_WORDS), "p_size", F.lit("g"))
+    named = v.read(spark, sf, "part").select("p_partkey", name.alias("name"), lookup(F.col("p_type"), STARTER_BUCKETS).alias("source_bucket"))
     return cl.classify(named).select("p_partkey", "category_slug")
 
 
+def _rule_rows(spark, sf):
+    """A shop's rule table: a rule for each product name of a brand that stocks its own aisle, one for each name, one for each noun."""
+    part = v.read(spark, sf, "part").select("p_name", F.concat(F.lit("b"), F.split_part("p_brand", F.lit("#"), F.lit(2))).alias("brand"), "p_brand").distinct()
+    own = part.select(F.lit("exceptions").alias("layer"), F.concat_ws(" ", "p_name", "brand").alias("keyword"), F.concat(F.lit("own-"), "brand").alias("slug"))
+    own = own.where(~F.col("slug").isin("own-b1", "own-b2"))
+    head = part.select(F.lit("head").alias("layer"), F.col("p_name").alias("keyword"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug")).distinct()
+    noun = F.split_part("p_name", F.lit(" "), F.lit(2))
+    stem = part.select(F.lit("ingredient").alias("layer"), F.concat(F.substring(noun, F.lit(1), F.length(noun) - 1), F.lit("*")).alias("keyword"), noun.alias("slug")).distinct()
+    rows = own.unionByName(head.where("keyword not like 'hot %'")).unionByName(stem)
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("layer").orderBy("keyword")))
+
+
+@query(
+    "classify_rule_table",
+    """with p as (select p_partkey, p_name, split_part(p_brand,'#',2) as b, p_size%2=0 as many from part)
+      select p_partkey, case when not many and b not in ('1','2') then 'own-b'||b when p_name not like 'hot %' then replace(p_name,' ','-')
+        else split_part(p_name,' ',2) end as category_slug from p""",
+)
+def classify_rule_table(spark, sf):
+    """A rule table of more than a thousand rules, read from a file, files every product; half of the names are plurals."""
+    folder = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    _rule_rows(spark, sf).write.json(folder)
+    taxonomy = cl.Taxonomy(tuple(load_rules(spark, folder)), (), (), "", (), "none")
+    name = F.concat_ws(" ", F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "s").otherwise("")), F.replace("p_brand", F.lit("Brand#"), F.lit("b")), "p_size")
+    named = v.read(spark, sf, "part").select("p_partkey", F.upper(name).alias("name"), F.lit(None).cast("string").alias("source_bucket"))
+    return cl.classify(named, taxonomy).select("p_partkey", "category_slug")
+
+
 @query("classify_documents")
 def classify_documents(spark, sf):
     """The starter rules over whole documents: the cost of the real layer count on long texts."""
