@@ -52,27 +52,24 @@ def attribute_groups(words: str) -> tuple[bool, bool, bool]:
     return hit(_GROUPS["furniture"]), hit(_GROUPS["comments"]), hit(_GROUPS["main"])
 
 
-def _below(parent: np.ndarray, depth: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Sum over each node's subtree."""
-    total = own.astype(np.float64)
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        np.add.at(total, parent[at], total[at])
-    return total
+def _below(end: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sum over each node's subtree; sums of whole numbers, so differences of running sums are exact."""
+    total = np.append(0.0, np.cumsum(own.astype(np.float64)))
+    return total[end] - total[:-1]
 
 
-def _above(parent: np.ndarray, depth: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _above(end: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Sum over each node's ancestors, without itself."""
-    total = np.zeros(len(own))
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
-        total[at] = total[parent[at]] + own[parent[at]]
-    return total
+    own = own.astype(np.float64)
+    change = np.zeros(len(own) + 1)
+    change[1:] += own
+    np.subtract.at(change, end, own)
+    return np.cumsum(change)[:-1]
 
 
 def node_features(pages: Pages) -> np.ndarray:
     """A row per feature, a column per node."""
-    parent, page, tag, depth = pages.arrays()
+    parent, page, tag, depth, end = pages.arrays()
     n = len(parent)
     up = np.maximum(parent, 0)
     size = np.fromiter((len(t.strip()) for t in pages.text), np.float64, n)
@@ -81,11 +78,11 @@ def node_features(pages: Pages) -> np.ndarray:
     groups = np.array([known[w] for w in pages.words], dtype=np.float64).reshape(n, 3)
     is_text = tag == 1
     link = (tag == TAG_NUMBER["a"]).astype(np.float64)
-    in_link = _above(parent, depth, link) > 0
-    text = _below(parent, depth, size)
-    linked = _below(parent, depth, size * in_link)
-    tags = _below(parent, depth, ~is_text)
-    sentences = _below(parent, depth, stops)
+    in_link = _above(end, link) > 0
+    text = _below(end, size)
+    linked = _below(end, size * in_link)
+    tags = _below(end, ~is_text)
+    sentences = _below(end, stops)
     whole = np.zeros(int(page.max(initial=0)) + 1)
     np.add.at(whole, page, size)
     siblings = np.zeros(n)
@@ -101,42 +98,46 @@ def node_features(pages: Pages) -> np.ndarray:
     place = np.arange(n) - up
     log = np.log1p
     own = [tag.astype(np.float64), is_text, _INLINE[tag], _FURNITURE_TAGS[tag], _MAIN_TAGS[tag], *groups.T,
-           _above(parent, depth, _FURNITURE_TAGS[tag]), _above(parent, depth, _MAIN_TAGS[tag]), *(_above(parent, depth, g) for g in groups.T),
+           _above(end, _FURNITURE_TAGS[tag]), _above(end, _MAIN_TAGS[tag]), *(_above(end, g) for g in groups.T),
            in_link, depth, log(text), linked / np.maximum(text, 1), log(text / np.maximum(tags, 1)), sentences / np.maximum(text / 50, 1), log(tags),
            text / np.maximum(whole[page], 1), text / np.maximum(text[up], 1), siblings[up], alike, log(place)]
     own += [own[0][up], log(text[up]), (linked / np.maximum(text, 1))[up], (sentences / np.maximum(text / 50, 1))[up], groups[up, 0], groups[up, 1]]
     return np.stack([np.asarray(f, dtype=np.float64) for f in own])
 
 
-def consistent_labels(parent: np.ndarray, depth: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The likeliest labels where no node without main text has a descendant with it; roots hold what there is."""
-    no, yes = np.log(np.clip(1 - p, 1e-9, 1)), np.log(np.clip(p, 1e-9, 1))
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
-        np.add.at(yes, parent[at], np.maximum(no[at], yes[at]))
-        np.add.at(no, parent[at], no[at])
-    label = depth == 0
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == d)
-        label[at] = label[parent[at]] & (yes[at] >= no[at])
-    return label
+def consistent_labels(parent: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The likeliest labels where no node without main text has a descendant with it; roots hold what there is.
+
+    Parents stand before their children, so one pass upwards and one downwards do, however deep the nodes are nested.
+    """
+    no, yes = np.log(np.clip(1 - p, 1e-9, 1)).tolist(), np.log(np.clip(p, 1e-9, 1)).tolist()
+    up = parent.tolist()
+    for k in range(len(up) - 1, -1, -1):
+        if (a := up[k]) >= 0:
+            yes[a] += max(no[k], yes[k])
+            no[a] += no[k]
+    label = [True] * len(up)
+    for k, a in enumerate(up):
+        if a >= 0:
+            label[k] = label[a] and yes[k] >= no[k]
+    return np.array(label, dtype=bool)
 
 
 def main_texts(html: list[str], trees: Trees) -> list[str]:
     """Main text of each page: its blocks in page order, an empty line between them."""
     pages = Pages(html)
-    parent, page, tag, depth = pages.arrays()
-    label = consistent_labels(parent, depth, trees.probabilities(node_features(pages)))
-    out: list[list[str]] = [[] for _ in html]
+    parent, page, tag, _, _ = pages.arrays()
+    label = consistent_labels(parent, trees.probabilities(node_features(pages)))
+    out: list[list[list[str]]] = [[] for _ in html]
     last = None
     for k in np.flatnonzero(label & (tag == 1)).tolist():
         own = out[page[k]]
         if pages.block[k] == last:
-            own[-1] += pages.text[k]
+            own[-1].append(pages.text[k])
         else:
-            own.append(pages.text[k])
+            own.append([pages.text[k]])
             last = pages.block[k]
-    return ["\n\n".join(b for b in (SPACE.sub(" ", x).strip() for x in own) if b) for own in out]
+    return ["\n\n".join(b for b in (SPACE.sub(" ", "".join(x)).strip() for x in own) if b) for own in out]
 
 
 class Layouts:
@@ -255,12 +256,12 @@ def fit_trees(sample: list[str], layouts: int = LAYOUTS, seed: int = SEED) -> Tr
             pick = [] if kind < 0.03 else own[start : start + 2] if kind < 0.2 else own[:40]
             made.append(maker.page([x.replace(Layouts.MARK, " ") for x in pick], texts))
     pages = Pages(made)
-    parent, _, tag, depth = pages.arrays()
+    _, _, tag, _, end = pages.arrays()
     held = np.fromiter((Layouts.MARK in t for t in pages.text), np.float64, len(tag))
     pages.text = [t.replace(Layouts.MARK, "") for t in pages.text]
-    label = (_below(parent, depth, held) > 0).astype(np.float64)
+    label = (_below(end, held) > 0).astype(np.float64)
     size = np.fromiter((len(t) for t in pages.text), np.float64, len(tag))
-    weight = 1 + 0.5 * np.log1p(_below(parent, depth, size))
+    weight = 1 + 0.5 * np.log1p(_below(end, size))
     return train(node_features(pages), label, weight)
 
 
@@ -276,7 +277,8 @@ def sample_pages(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row; a page without main text, an empty or null one too, has an empty text.
 
-    Rows are independent, so rows that repeat agree. Other columns are ignored.
+    Rows are independent, so rows that repeat agree. Other columns are ignored. A page of any length or nesting is read in one
+    pass; a tag whose quote is never closed ends at the next bracket.
     """
     rows = pages.select("page_id", "url", "html")
     trees = pages.sparkSession.sparkContext.broadcast(fit_trees(sample_pages(rows, sample)))

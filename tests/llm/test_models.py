@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -121,10 +122,47 @@ def test_page_edges(spark):
 def test_labels_never_contradict():
     rng = np.random.default_rng(3)
     parent = np.array([-1] + [int(rng.integers(0, k)) for k in range(1, 60)])
-    depth = np.zeros(60, dtype=int)
-    for k in range(1, 60):
-        depth[k] = depth[parent[k]] + 1
-    label = htmltext.consistent_labels(parent, depth, rng.random(60))
+    label = htmltext.consistent_labels(parent, rng.random(60))
     assert all(label[parent[k]] for k in range(1, 60) if label[k])
     small = np.array([-1, 0, 1, 1])
-    assert htmltext.consistent_labels(small, np.array([0, 1, 2, 2]), np.array([0.9, 0.3, 0.9, 0.2])).tolist() == [True, True, True, False]
+    assert htmltext.consistent_labels(small, np.array([0.9, 0.3, 0.9, 0.2])).tolist() == [True, True, True, False]
+
+
+def test_labels_are_the_likeliest_of_all():
+    """Every labelling without contradictions of small trees."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        parent = np.array([-1] + [int(rng.integers(0, k)) for k in range(1, n)])
+        p = rng.random(n)
+        best = (-np.inf, None)
+        for bits in range(1 << (n - 1)):
+            label = [True] + [bool(bits >> k & 1) for k in range(n - 1)]
+            if all(label[parent[k]] or not label[k] for k in range(1, n)):
+                score = sum(np.log(p[k] if label[k] else 1 - p[k]) for k in range(1, n))
+                best = max(best, (score, label), key=lambda x: x[0])
+        assert htmltext.consistent_labels(parent, p).tolist() == best[1]
+
+
+def test_broken_and_deep_pages():
+    """Pages that a search from each tag on, or a scan per level, would take minutes or hours for."""
+    words = "Some words of the text, with a stop at the end of them. " * 4
+    trees = htmltext.fit_trees([f"<html><body><article><p>{words}</p><p>{words}</p></article></body></html>"])
+    hostile = ["<a " * 600_000 + '"' + "x" * 3_000_000, "<a \"" * 300_000, "<div>" * 100_000 + "x" + "</div>" * 100_000,
+               "<i>" * 50_000 + "<p>x</p>" * 50_000, "<div>" * 50_000 + "<li>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000,
+               "<p>" + "x<b>y</b>" * 100_000]
+    for page in hostile:
+        start = time.time()
+        htmltext.main_texts([page], trees)
+        assert time.time() - start < 10
+    open_quote = f'<article><p class="x>{words}</p><p>{words}</p></article>'
+    assert words.strip() in htmltext.main_texts([open_quote], trees)[0]
+    page = f"<article><p>{words}</p><noscript><p>{words}</p></noscript><p>{words}<math><mi>abc</mi></math></p><svg><text>def</text></svg></article>"
+    text = "".join(Pages([page]).text)
+    assert text.count("Some words") == 12 and "abc" in text and "def" in text
+    assert Pages(["", "<noscript><p>left open"]).text[-1] == "left open"
+
+
+def test_pages_of_nothing(spark):
+    rows = spark.createDataFrame([(1, "u", None), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in htmltext.extract_text(rows).collect()) == [("1", "", 0), ("2", "", 0), ("None", "", 0)]
