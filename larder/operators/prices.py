@@ -107,6 +107,15 @@ def publish(current: DataFrame, appended: DataFrame) -> DataFrame:
     return latest_price(old.unionByName(appended.select("id", *CURRENT)))
 
 
+def publish_rows(current: DataFrame, appended: DataFrame) -> DataFrame:
+    """As ``publish``, of prices that keep the id of their snapshot: what comes out doesn't depend on the order of the runs."""
+    rows = current.select("id", *CURRENT).unionByName(appended.select("id", *CURRENT))
+    last = F.max(F.struct("captured_at", "id", "price_cop", "list_price_cop"))
+    return rows.groupBy(*KEY).agg(last.alias("last")).select(
+        "last.id", *KEY, "last.price_cop", "last.list_price_cop", "last.captured_at"
+    )
+
+
 def price_as_of(snapshots: DataFrame, points: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
     """``points`` (store_product_id, region_code, as_of, ...) with the last price at or before ``as_of``."""
     extra = [c for c in points.columns if c not in (*KEY, "as_of")]

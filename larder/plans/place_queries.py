@@ -16,6 +16,7 @@ from larder.plans import views as v
 from larder.plans.registry import query
 from larder.session import cut_lineage, shared_folder
 from larder.plans.views import CUR, ITEM, LT, PRICED, PROF, SNAP, with_ctes
+from larder.sources.versions import buckets_for
 from larder.streaming import jobs
 
 # --- proximity ----------------------------------------------------------------------------------------------------
@@ -567,8 +568,38 @@ def publish_stream(spark, sf):
     history = v.snapshots(spark, sf)
     middle = history.agg(F.avg(F.unix_seconds("captured_at"))).first()[0]
     seed = pr.latest_price(history.where(F.unix_seconds("captured_at") < F.lit(middle)))
-    stream = jobs.publish_batches(snapshots, f"{folder}/current", f"{folder}/checkpoint", seed)
+    stream = jobs.publish_batches(snapshots, f"{folder}/current", f"{folder}/checkpoint", seed, buckets=buckets_for(history.count()))
     stream.awaitTermination()
     last = stream.lastProgress["batchId"] if stream.lastProgress else 0  # no batch: what was seeded
     return jobs.published(spark, f"{folder}/current", last).select("store_product_id", "region_code", "price_cop")
 
+
+#: Micro-batches that the later half of the history is dealt over, whatever its size.
+LANDINGS = 6
+
+
+@query(
+    "publish_batches",
+    with_ctes(
+        """select store_product_id, region_code, price_cop, list_price_cop, id, strftime(captured_at, '%Y-%m-%d') as captured_on from (
+          select *, row_number() over (partition by store_product_id, region_code
+            order by captured_at desc, id desc, price_cop desc, list_price_cop desc) rn from snap) where rn=1""",
+        SNAP,
+    ),
+)
+def publish_batches(spark, sf):
+    """Prices up to a middle date are published; later ones land by month and stream in over several micro-batches."""
+    folder = _scratch(spark, "batches")
+    history = v.snapshots(spark, sf)
+    middle = history.agg(F.avg(F.unix_seconds("captured_at"))).first()[0]
+    later = F.unix_seconds("captured_at") >= F.lit(middle)
+    month = F.date_format("captured_at", "yyyy-MM").alias("month")
+    history.where(later).select("*", month).hint("rebalance", "month").write.partitionBy("month").parquet(f"{folder}/landed")
+    none = history.select("id", *pr.CURRENT).limit(0)
+    seed = pr.publish_rows(none, history.where(~F.coalesce(later, F.lit(False))))
+    files = len(spark.read.schema(history.schema).parquet(f"{folder}/landed").inputFiles())
+    stream = spark.readStream.schema(history.schema).option("maxFilesPerTrigger", max(1, files // LANDINGS)).parquet(f"{folder}/landed")
+    buckets = buckets_for(history.count())
+    jobs.publish_batches(stream, f"{folder}/current", f"{folder}/checkpoint", seed, pr.publish_rows, buckets).awaitTermination()
+    day = F.date_format("captured_at", "yyyy-MM-dd").alias("captured_on")
+    return jobs.published(spark, f"{folder}/current").select(*pr.KEY, "price_cop", "list_price_cop", "id", day)

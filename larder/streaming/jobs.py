@@ -7,7 +7,7 @@ a batch without changing the result.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from larder import fixed
 from larder.operators import prices as pr
+from larder.sources.versions import BUCKETS, Versions
 
 # Keyed state with an initial state needs the store that can hold more than memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,25 +100,30 @@ def _version(path: str, batch_id: int) -> str:
     return os.path.join(path, f"batch={batch_id:09d}")
 
 
-def publish_batches(snapshots: DataFrame, current_path: str, checkpoint: str, seed: DataFrame) -> StreamingQuery:
-    """Progressive publish: after each micro-batch of snapshots, a new version of the current prices.
+def publish_batches(
+    snapshots: DataFrame,
+    current_path: str,
+    checkpoint: str,
+    seed: DataFrame,
+    merge: Callable[[DataFrame, DataFrame], DataFrame] = pr.publish,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Progressive publish: after each micro-batch of snapshots, a new version of the current prices (``sources.versions``).
 
-    Version ``n`` is built from version ``n - 1`` and the batch, so running batch ``n`` again writes the same version.
+    Version ``n + 1`` is built from version ``n`` and batch ``n`` and writes the buckets of the batch's products only, so running
+    a batch again gives the same version. ``pr.publish_rows`` over a seed with ids takes batches in any order, also with equal times.
     """
-    spark = snapshots.sparkSession
-    seed.write.mode("overwrite").parquet(_version(current_path, 0))
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(seed.schema).parquet(_version(current_path, batch_id))
-        pr.publish(before, batch).write.mode("overwrite").parquet(_version(current_path, batch_id + 1))
-
+    table = Versions(snapshots.sparkSession, current_path)
+    table.create(seed, ["store_product_id"], buckets)
+    publish = lambda batch, batch_id: table.commit(batch_id + 1, batch, merge)
     return (
         snapshots.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def published(spark: SparkSession, current_path: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(_version(current_path, last_batch + 1))
+def published(spark: SparkSession, current_path: str, last_batch: int | None = None) -> DataFrame:
+    """Prices as published after a batch, the last one by default; -1 is the seed."""
+    return Versions(spark, current_path).read(None if last_batch is None else last_batch + 1)
 
 
 class AbortGate:

@@ -69,7 +69,7 @@ def test_publish_stream_merges_into_published_prices(spark, monkeypatch):
     """The registered query starts from real prices, and newer ones arrive for some of them."""
     seeds = []
     publish = jobs.publish_batches
-    monkeypatch.setattr(jobs, "publish_batches", lambda snapshots, path, checkpoint, seed: seeds.append(seed) or publish(snapshots, path, checkpoint, seed))
+    monkeypatch.setattr(jobs, "publish_batches", lambda snapshots, path, checkpoint, seed, **more: seeds.append(seed) or publish(snapshots, path, checkpoint, seed, **more))
     last = queries()["publish_stream"](spark, "/root/testdata/sf0.001")
     key = ["store_product_id", "region_code"]
     both = seeds[0].select(*key, F.col("price_cop").alias("before")).join(last, key).collect()
