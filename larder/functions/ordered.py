@@ -50,6 +50,11 @@ def _sliced(df: DataFrame, keys: Sequence[str], at: Column, target_rows: int, ho
     )
 
 
+def in_slices(df: DataFrame, keys: Sequence[str], at: Column, target_rows: int = TARGET_ROWS, only_hot: bool = False) -> DataFrame:
+    """Add ``_slice``, the number of a row's slice of its key; rows of one ``at`` share a slice, keys that aren't hot have one."""
+    return _sliced(df, keys, at, target_rows, "inner" if only_hot else "left")
+
+
 def _carry(
     df: DataFrame, inside: DataFrame, keys: Sequence[str], ends: DataFrame, carried: Column, merged, out: str
 ) -> DataFrame:

@@ -8,13 +8,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions import geo
-from larder.functions.ordered import TARGET_ROWS, previous_row, running_total
+from larder.functions.ordered import SLICE, TARGET_ROWS, in_slices, previous_row, running_total
+from larder.operators.follow import (
+    RUN,
+    RerouteMap,
+    Routes,
+    after_slice,
+    distant_runs,
+    reroutes,
+    segments_along,
+    transitions,
+)
 
 
 def _leg(a: Column, b: Column) -> Column:
@@ -93,100 +103,226 @@ MATCHED = (
     "trip_id string, route_id string, ts timestamp, lat double, lng double, segment int, off_route_m bigint,"
     " remaining_m bigint, remaining_s bigint, reroute boolean"
 )
-
-
-class _Trip:
-    """Where one trip stands: its route, the segment matched last, the latest distances, the last reroute."""
-
-    def __init__(self, trip_id, lng, lat, distance_m, duration_s):
-        self.trip_id, self.segment, self.recent, self.rerouted_at = trip_id, 0, [], None
-        self.lng, self.lat = np.asarray(lng, dtype=float), np.asarray(lat, dtype=float)
-        self.pace = duration_s / distance_m if distance_m > 0 else 0.0
-        legs = _metres(self.lat[:-1], self.lng[:-1], self.lat[1:], self.lng[1:])
-        self.tail = np.append(np.cumsum(legs[::-1])[::-1], 0.0)
-
-    def _nearest(self, lat: float, lng: float, start: int):
-        """(off-route metres, remaining metres, segment) of the first segment no later one beats by 10 m."""
-        ay, ax, by, bx = self.lat[start:-1], self.lng[start:-1], self.lat[start + 1 :], self.lng[start + 1 :]
-        if len(ay) == 0:
-            return None
-        squeeze = np.cos(np.radians(lat))
-        dx, dy = (bx - ax) * squeeze, by - ay
-        square = dx * dx + dy * dy
-        along = ((lng - ax) * squeeze * dx + (lat - ay) * dy) / np.where(square == 0, 1.0, square)
-        t = np.where(square == 0, 0.0, np.clip(along, 0.0, 1.0))
-        py, px = ay + (by - ay) * t, ax + (bx - ax) * t
-        off = _metres(lat, lng, py, px)
-        best, at = off[0], 0
-        while True:
-            better = np.nonzero(off[at + 1 :] < best - fixed.SEGMENT_TIE_M)[0]
-            if len(better) == 0:
-                break
-            at = at + 1 + int(better[0])
-            best = off[at]
-        left = _metres(py[at], px[at], by[at], bx[at]) + self.tail[start + at + 1]
-        return float(best), float(left), start + at
-
-    def step(self, ts: pd.Timestamp, lat: float, lng: float):
-        found = self._nearest(lat, lng, self.segment)
-        if self.segment > 0 and (found is None or found[0] > fixed.OFF_ROUTE_M):
-            anywhere = self._nearest(lat, lng, 0)
-            if anywhere is not None and (found is None or anywhere[0] < found[0]):
-                found = anywhere
-        if found is None:
-            straight = float(_metres(lat, lng, self.lat[-1], self.lng[-1])) if len(self.lat) else 0.0
-            found = (straight, straight, 0)
-        off, left, self.segment = found
-        off_m = int(np.floor(off + 0.5))
-        self.recent = [*self.recent, off_m][-fixed.OFF_ROUTE_FIXES :]
-        waited = self.rerouted_at is None or (ts - self.rerouted_at).total_seconds() * 1000 >= fixed.REROUTE_PAUSE_MS
-        reroute = waited and len(self.recent) == fixed.OFF_ROUTE_FIXES and min(self.recent) > fixed.OFF_ROUTE_M
-        if reroute:
-            self.rerouted_at, self.recent = ts, []
-        return self.segment, off_m, int(np.floor(left + 0.5)), int(np.floor(left * self.pace + 0.5)), reroute
-
-
-def _metres(lat1, lng1, lat2, lng2):
-    half_lat, half_lng = np.radians(lat2 - lat1) / 2, np.radians(lng2 - lng1) / 2
-    h = np.sin(half_lat) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(half_lng) ** 2
-    return 2 * fixed.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
-
-
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows of whole trips, each opened by its route's row; only the current trip's state is held."""
-    trip: _Trip | None = None
+TRIP = ["trip_id", "route_id"]
+PART = f"trip_id string, route_id string, {SLICE} int"
+
+
+class _Batch:
+    """Sorted rows of one Arrow batch. Each slice of a trip is opened by a row with its route and the state it begins in;
+    ``before`` is the slice that the last batch ended in."""
+
+    def __init__(self, batch: pa.RecordBatch, before: dict | None):
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        opening = column("kind").to_numpy() == 0
+        self.slices = [] if before is None else [before]
+        names = [*TRIP, SLICE, "route_lat", "route_lng", "pace", "segment", "run", "since"]
+        points = ("route_lat", "route_lng")
+        for at in np.flatnonzero(opening):
+            found = {name: column(name)[int(at)] for name in names}
+            self.slices.append(
+                {k: x.values.to_numpy(zero_copy_only=False) if k in points and x.is_valid else x.as_py() for k, x in found.items()}
+            )
+        self.number = np.cumsum(opening)[~opening] - (before is None)
+        self.rows = pa.RecordBatch.from_arrays([column(c).filter(pa.array(~opening)) for c in (*TRIP, "ts", "lat", "lng")], [*TRIP, "ts", "lat", "lng"])
+        known = np.array([s["route_lat"] is not None for s in self.slices], dtype=bool)
+        lat, lng, us = (column(c).filter(pa.array(~opening)) for c in ("lat", "lng", "us"))
+        there = [np.asarray(c.is_valid()) for c in (lat, lng, us)]
+        self.usable = known[self.number] & there[0] & there[1] & there[2] if len(self.number) else np.zeros(0, dtype=bool)
+        values = [c.to_numpy(zero_copy_only=False)[self.usable] for c in (lat, lng)]
+        self.usable[self.usable] = finite = np.isfinite(values[0]) & np.isfinite(values[1])
+        self.lat, self.lng = values[0][finite], values[1][finite]
+        self.us = us.fill_null(0).to_numpy()[self.usable]
+        self.of = self.number[self.usable]
+        self.opens = np.append(True, self.of[1:] != self.of[:-1])[: len(self.of)]
+        empty = np.zeros(0)
+        self.routes = Routes(*([empty if s[c] is None else s[c] for s in self.slices] for c in points)) if self.slices else None
+
+    def _each(self, name: str) -> np.ndarray:
+        return np.array([s[name] for s in self.slices])[self.of]
+
+    def follow(self):
+        """(segment, metres off, metres left) of the usable fixes; every slice then begins behind them."""
+        at, off, left = segments_along(self.routes, self.of, self.lat, self.lng, self.opens, self._each("segment"))
+        last = np.flatnonzero(np.append(self.opens[1:], True))
+        for row in last[: len(self.of)]:
+            self.slices[self.of[row]]["segment"] = int(at[row])
+        return at, off, left
+
+    def parts(self) -> Iterator[tuple[dict, int, slice]]:
+        """(slice, its number, its usable fixes), also of slices without any."""
+        bounds = np.searchsorted(self.of, np.arange(len(self.slices) + 1))
+        for k, found in enumerate(self.slices):
+            yield found, k, slice(int(bounds[k]), int(bounds[k + 1]))
+
+
+def _whole_metres(off: np.ndarray) -> np.ndarray:
+    return np.floor(off + 0.5).astype(np.int64)
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matched fixes of slices that know the state they begin in; only one slice's route and state are held between batches."""
+    before = None
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.kind == 0:
-                known = row.route_lng is not None
-                trip = _Trip(row.trip_id, row.route_lng, row.route_lat, row.distance_m, row.duration_s) if known else None
-                continue
-            found = (None,) * 5 if trip is None or trip.trip_id != row.trip_id else trip.step(row.ts, row.lat, row.lng)
-            out.append((row.trip_id, row.route_id, row.ts, row.lat, row.lng, *found))
+        here = _Batch(batch, before)
+        n = len(here.number)
+        out = [np.zeros(n, dtype=np.int64) for _ in range(4)] + [np.zeros(n, dtype=bool)]
+        if len(here.of):
+            at, off, left = here.follow()
+            off = _whole_metres(off)
+            runs = distant_runs(off > fixed.OFF_ROUTE_M, here.opens, here._each("run"))
+            asked, times = np.zeros(len(off), dtype=bool), None
+            ends = np.flatnonzero(runs > RUN)
+            for found, _, rows in here.parts():
+                if rows.stop == rows.start:
+                    continue
+                mine = ends[slice(*np.searchsorted(ends, (rows.start, rows.stop)))].tolist()
+                last = rows.start - len(off) - RUN
+                if mine:
+                    times = here.us.tolist() if times is None else times
+                    places = reroutes(mine, times, found["since"], last)
+                    if places:
+                        asked[places] = True
+                        last, found["since"] = places[-1], times[places[-1]]
+                found["run"] = min(RUN, int(runs[rows.stop - 1]), rows.stop - 1 - last)
+            values = (at, off, _whole_metres(left), _whole_metres(left * here._each("pace")), asked)
+            for whole, value in zip(out, values, strict=True):
+                whole[here.usable] = value
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        found = [pa.array(value, type=t, mask=~here.usable) for value, t in zip(out, types, strict=True)]
         names = [part.strip().split(" ")[0] for part in MATCHED.split(",")]
-        yield pd.DataFrame(out, columns=names)
+        yield pa.RecordBatch.from_arrays([*here.rows.columns, *found], names)
+        before = here.slices[-1] if here.slices else None
 
 
-def match_fixes(fixes: DataFrame, routes: DataFrame) -> DataFrame:
-    """Segment, metres off the route, metres and seconds left, and whether to reroute, for every fix in time order.
+def _summaries(begin, add, result, names: list[str]):
+    """A step that sums up every slice: ``begin`` at its opening row, ``add`` with the fixes of a batch, ``result`` at its end."""
 
-    Each fix depends on the one before it, so a trip is followed in order by one task, but never gathered: its sorted
-    rows stream through in Arrow batches, and the state is one route and a few numbers. The route travels as the
-    trip's first row instead of beside every fix. Fixes of a trip without a route come back with nulls.
-    """
-    opened = (
-        fixes.select("trip_id", "route_id").distinct().join(routes, "route_id", "left").select(
-            "trip_id", "route_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("ts"),
-            F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
-            F.transform("coordinates", lambda p: p["lng"]).alias("route_lng"),
-            F.transform("coordinates", lambda p: p["lat"]).alias("route_lat"),
-            F.col("distance_m").cast("double").alias("distance_m"), F.col("duration_s").cast("double").alias("duration_s"),
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, out = None, []
+        row = lambda s: dict({c: s[c] for c in (*TRIP, SLICE)}, **result(s["sum"]))
+        for batch in batches:
+            here = _Batch(batch, before)
+            matched = here.follow() if names[-1] == "tails" and len(here.of) else None
+            for found, k, rows in here.parts():
+                if "sum" not in found:
+                    found["sum"] = begin(here.routes, k)
+                if rows.stop > rows.start:
+                    found["sum"] = add(found["sum"], here, k, rows, matched)
+            ended, before = here.slices[:-1], here.slices[-1] if here.slices else None
+            out.extend(row(s) for s in ended)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _SUMMARY[names[-1]])
+                out = []
+        if before is not None:
+            yield pa.RecordBatch.from_pylist([row(before)], _SUMMARY[names[-1]])
+
+    return run
+
+
+_PART = [("trip_id", pa.string()), ("route_id", pa.string()), (SLICE, pa.int32())]
+_START = pa.struct([("run", pa.int32()), ("us", pa.int64()), ("last_run", pa.int32()), ("last_us", pa.int64())])
+_SUMMARY = {
+    "table": pa.schema([*_PART, ("table", pa.list_(pa.int32()))]),
+    "tails": pa.schema([*_PART, ("starts", pa.list_(_START)), ("tails", pa.list_(pa.int32()))]),
+}
+
+
+def _add_segments(table, here: _Batch, k: int, rows: slice, matched):
+    return transitions(here.routes, k, here.lat[rows], here.lng[rows], table)
+
+
+def _add_runs(found: RerouteMap, here: _Batch, k: int, rows: slice, matched):
+    found.add(_whole_metres(matched[1][rows]) > fixed.OFF_ROUTE_M, here.us[rows])
+    return found
+
+
+def _starts(found: RerouteMap) -> dict:
+    starts = [
+        {"run": run, "us": us, "last_run": last_run, "last_us": last_us}
+        for (run, us), (last_run, last_us) in zip(found.starts, found.states, strict=True)
+    ]
+    return {"starts": starts, "tails": found.tails}
+
+
+_segment_tables = _summaries(lambda routes, k: np.arange(int(routes.segments[k])), _add_segments, lambda t: {"table": t.tolist()}, ["table"])
+_reroute_maps = _summaries(lambda routes, k: RerouteMap(), _add_runs, _starts, ["starts", "tails"])
+
+
+def _entries(begin, step, names: list[str], schema: pa.Schema):
+    """Sorted summaries of slices to the state each begins in: a state goes along a trip, one summary at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trip, state = None, begin
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if trip != (row["trip_id"], row["route_id"]):
+                    trip, state = (row["trip_id"], row["route_id"]), begin
+                out.append({c: row[c] for c in (*TRIP, SLICE)} | dict(zip(names, state, strict=True)))
+                state = step(row, *state)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
+
+
+_segment_entries = _entries((0,), lambda row, at: (row["table"][at] if row["table"] else 0,), ["segment"], pa.schema([*_PART, ("segment", pa.int32())]))
+_run_entries = _entries(
+    (0, None), lambda row, run, since: after_slice(row["starts"], row["tails"], run, since), ["run", "since"],
+    pa.schema([*_PART, ("run", pa.int32()), ("since", pa.int64())]),
+)
+
+
+def _on_part(df: DataFrame, state: DataFrame) -> DataFrame:
+    """Join the state that slices begin in; it has at most two rows per ``target_rows`` fixes."""
+    named = state.select(*[F.col(c).alias(f"_at_{c}") for c in (*TRIP, SLICE)], *state.columns[3:])
+    same = F.lit(True)
+    for c in (*TRIP, SLICE):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    return df.join(F.broadcast(named), same, "left").drop(*[f"_at_{c}" for c in (*TRIP, SLICE)])
+
+
+def _lined_up(sliced: DataFrame, routes: DataFrame, *states: DataFrame) -> DataFrame:
+    """Fixes of each slice in order behind a row with the slice's route and the state that it begins in."""
+    opened = sliced.select(*TRIP, SLICE).distinct().join(routes, "route_id", "left")
+    for state in states:
+        opened = _on_part(opened, state)
+    begin = {"segment": F.lit(0), "run": F.lit(0), "since": F.lit(None).cast("long")}
+    for name, value in begin.items():
+        opened = opened.withColumn(name, F.coalesce(name, value) if name in opened.columns else value)
+    metres, seconds = F.col("distance_m").cast("double"), F.col("duration_s").cast("double")
+    opened = opened.select(
+        *TRIP, SLICE, F.lit(0).alias("kind"), *begin,
+        F.transform("coordinates", lambda p: p["lat"]).alias("route_lat"),
+        F.transform("coordinates", lambda p: p["lng"]).alias("route_lng"),
+        F.coalesce(F.when(metres > 0, seconds / metres), F.lit(0.0)).alias("pace"),
     )
-    seen = fixes.select("trip_id", "route_id", F.lit(1).alias("kind"), "ts", "lat", "lng")
-    line = opened.unionByName(seen, allowMissingColumns=True)
+    line = opened.unionByName(sliced.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     # a number given here is kept: adaptive coalescing sizes partitions by bytes and would starve the Python step
     tasks = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = line.repartition(tasks, "trip_id").sortWithinPartitions("trip_id", "kind", "ts", "lat", "lng")
-    return ordered.mapInPandas(_follow, MATCHED)
+    return line.repartition(tasks, *TRIP, SLICE).sortWithinPartitions(*TRIP, SLICE, "kind", "us", "lat", "lng")
+
+
+def _in_turn(summaries: DataFrame) -> DataFrame:
+    return summaries.repartition(*TRIP).sortWithinPartitions(*TRIP, SLICE)
+
+
+def match_fixes(fixes: DataFrame, routes: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Segment, metres off the route, metres and seconds left, and whether to reroute, for every fix in time order.
+
+    Each fix depends on the one before it, so a trip's fixes stream through a task in order, beside other trips'; the
+    state between batches is one route and a few numbers. A trip of more than ``target_rows`` fixes is cut into slices
+    of its time that run as tasks of their own: one pass over such trips gives a table for each slice (the segment it
+    ends on, for each segment it may begin on), a second one what it does to distant runs and reroutes. Both compose, so
+    going along a trip's slices gives the state each begins in. A slice's table has a number for each of its route's
+    segments. Each route of a trip is followed by itself, with one row of ``routes`` per route_id. Fixes without a
+    route, time or place come back with nulls and change nothing.
+    """
+    seen = fixes.select(*TRIP, "ts", "lat", "lng", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    hot = in_slices(seen, TRIP, F.col("us"), target_rows, only_hot=True)
+    tables = _lined_up(hot, routes).mapInArrow(_segment_tables, f"{PART}, table array<int>")
+    begun = _in_turn(tables).mapInArrow(_segment_entries, f"{PART}, segment int")
+    starts = "array<struct<run: int, us: bigint, last_run: int, last_us: bigint>>"
+    maps = _lined_up(hot, routes, begun).mapInArrow(_reroute_maps, f"{PART}, starts {starts}, tails array<int>")
+    waiting = _in_turn(maps).mapInArrow(_run_entries, f"{PART}, run int, since bigint")
+    sliced = in_slices(seen, TRIP, F.col("us"), target_rows)
+    return _lined_up(sliced, routes, begun, waiting).mapInArrow(_match, MATCHED)
