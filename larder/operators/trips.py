@@ -107,25 +107,26 @@ TRIP = ["trip_id", "route_id"]
 PART = f"trip_id string, route_id string, {SLICE} int"
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray | None]:
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+    return [flat[a:b] if there else None for a, b, there in zip([0, *ends], ends, lists.is_valid().to_pylist(), strict=False)]
+
+
 class _Batch:
     """Sorted rows of one Arrow batch. Each slice of a trip is opened by a row with its route and the state it begins in;
     ``before`` is the slice that the last batch ended in."""
 
     def __init__(self, batch: pa.RecordBatch, before: dict | None):
-        column = lambda name: batch.column(batch.schema.get_field_index(name))
-        opening = column("kind").to_numpy() == 0
+        opening = batch.column("kind").to_numpy() == 0
+        opened, fixes = batch.filter(pa.array(opening)), batch.filter(pa.array(~opening))
+        names, points = [*TRIP, SLICE, "pace", "segment", "run", "since"], ("route_lat", "route_lng")
+        columns = [opened.column(c).to_pylist() for c in names] + [_arrays(opened.column(c)) for c in points]
         self.slices = [] if before is None else [before]
-        names = [*TRIP, SLICE, "route_lat", "route_lng", "pace", "segment", "run", "since"]
-        points = ("route_lat", "route_lng")
-        for at in np.flatnonzero(opening):
-            found = {name: column(name)[int(at)] for name in names}
-            self.slices.append(
-                {k: x.values.to_numpy(zero_copy_only=False) if k in points and x.is_valid else x.as_py() for k, x in found.items()}
-            )
+        self.slices += [dict(zip([*names, *points], found, strict=True)) for found in zip(*columns, strict=True)]
         self.number = np.cumsum(opening)[~opening] - (before is None)
-        self.rows = pa.RecordBatch.from_arrays([column(c).filter(pa.array(~opening)) for c in (*TRIP, "ts", "lat", "lng")], [*TRIP, "ts", "lat", "lng"])
+        self.rows = fixes.select([*TRIP, "ts", "lat", "lng"])
         known = np.array([s["route_lat"] is not None for s in self.slices], dtype=bool)
-        lat, lng, us = (column(c).filter(pa.array(~opening)) for c in ("lat", "lng", "us"))
+        lat, lng, us = (fixes.column(c) for c in ("lat", "lng", "us"))
         there = [np.asarray(c.is_valid()) for c in (lat, lng, us)]
         self.usable = known[self.number] & there[0] & there[1] & there[2] if len(self.number) else np.zeros(0, dtype=bool)
         values = [c.to_numpy(zero_copy_only=False)[self.usable] for c in (lat, lng)]
@@ -170,20 +171,18 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, off, left = here.follow()
             off = _whole_metres(off)
             runs = distant_runs(off > fixed.OFF_ROUTE_M, here.opens, here._each("run"))
-            asked, times = np.zeros(len(off), dtype=bool), None
+            asked, last = np.zeros(len(off), dtype=bool), -1
             ends = np.flatnonzero(runs > RUN)
-            for found, _, rows in here.parts():
-                if rows.stop == rows.start:
-                    continue
-                mine = ends[slice(*np.searchsorted(ends, (rows.start, rows.stop)))].tolist()
-                last = rows.start - len(off) - RUN
-                if mine:
-                    times = here.us.tolist() if times is None else times
-                    places = reroutes(mine, times, found["since"], last)
-                    if places:
-                        asked[places] = True
-                        last, found["since"] = places[-1], times[places[-1]]
-                found["run"] = min(RUN, int(runs[rows.stop - 1]), rows.stop - 1 - last)
+            times = here.us.tolist() if len(ends) else []
+            for mine in np.split(ends, np.flatnonzero(np.diff(here.of[ends])) + 1) if len(ends) else []:
+                found = here.slices[here.of[mine[0]]]
+                places = reroutes(mine.tolist(), times, found["since"], -1 - RUN)
+                if places:
+                    asked[places] = True
+                    found["since"] = times[places[-1]]
+                    last = places[-1] if found is here.slices[here.of[-1]] else last
+            # only the slice that the last fix is in may go on in the next batch
+            here.slices[here.of[-1]]["run"] = min(RUN, int(runs[-1]), len(off) - 1 - last)
             values = (at, off, _whole_metres(left), _whole_metres(left * here._each("pace")), asked)
             for whole, value in zip(out, values, strict=True):
                 whole[here.usable] = value
