@@ -14,6 +14,7 @@ from larder.functions import money
 from larder.functions.ordered import TARGET_ROWS, previous_row
 from larder.functions.text import strip
 from larder.operators.prices import prices_by_region, region_price
+from larder.operators.save_chain import refused_saves
 from larder.session import cut_lineage
 
 PAYLOAD = "array<struct<store_product_id string, quantity string>>"
@@ -85,6 +86,34 @@ def _list_error(checked: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
+def _put_back(good: DataFrame, entries: DataFrame, target_rows: int) -> DataFrame:
+    """Saves that have a product without a price today which the list no longer held when they came.
+
+    ``entries`` holds each save's products with ``today`` and ``held_price``. Only lists where such a save is possible
+    are followed, and of their saves only products without a price.
+    """
+    mine = entries.join(good.select("save_id"), "save_id", "left_semi")
+    needed = mine.where("today is null").select("list_id", "store_product_id").distinct()
+    product = F.col("store_product_id").cast("string")
+    parts = (
+        mine.join(needed, ["list_id", "store_product_id"], "left_semi")
+        .groupBy("save_id")
+        .agg(F.collect_list(F.when(F.col("today").isNull(), product)).alias("needs"), F.collect_list(product).alias("has"))
+    )
+    lists = needed.select("list_id").distinct()
+    nothing = F.array().cast("array<string>")
+    saves = good.select("save_id", "list_id", "seq").join(lists, "list_id", "left_semi").join(parts, "save_id", "left")
+    held = (
+        mine.where("held_price is not null")
+        .join(needed, ["list_id", "store_product_id"], "left_semi")
+        .groupBy("list_id")
+        .agg(F.collect_set(product).alias("held"))
+    )
+    return refused_saves(
+        saves.withColumns({"needs": F.coalesce("needs", nothing), "has": F.coalesce("has", nothing)}), held, target_rows
+    )
+
+
 def apply_list_saves(
     saves: DataFrame,
     lists: DataFrame,
@@ -139,29 +168,16 @@ def apply_list_saves(
             .withColumn("continued", kept)
         )
 
-    # What is left is a held product that lost its price, was taken out and put back within the batch. Only the first
-    # such save of a list is certain; it drops out and the list is chained again. Rarely more than one round.
+    # What is left is a held product that lost its price, was taken out and put back within the batch.
     good = checked.where("error is null")
-    late: DataFrame | None = None
-    while True:
-        traced = trace(good)
-        first = (
-            traced.where("not continued and today is null")
-            .groupBy("list_id")
-            .agg(F.min_by("save_id", "seq").alias("save_id"))
-            .select("save_id")
-        )
-        if first.isEmpty():
-            break
-        first = cut_lineage(first)
-        late = first if late is None else late.unionByName(first)
-        good = cut_lineage(good.join(first, "save_id", "left_anti"))
-    if late is not None:
-        checked = (
-            checked.join(late.withColumn("_late", F.lit(True)), "save_id", "left")
-            .withColumn("error", F.coalesce("error", F.when(F.col("_late"), "P0001")))
-            .drop("_late")
-        )
+    late = cut_lineage(_put_back(good, entries, target_rows))
+    good = good.join(late, "save_id", "left_anti")
+    traced = trace(good)
+    checked = (
+        checked.join(late.withColumn("_late", F.lit(True)), "save_id", "left")
+        .withColumn("error", F.coalesce("error", F.when(F.col("_late"), "P0001")))
+        .drop("_late")
+    )
 
     last = good.groupBy("list_id").agg(F.max_by(F.struct("save_id", "owner_id", "name"), "seq").alias("last"))
     frozen = traced.groupBy("list_id", "store_product_id").agg(

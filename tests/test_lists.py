@@ -3,9 +3,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import lists as li
+from larder.operators.save_chain import refused_saves
 
 ITEMS = "list_id string, store_product_id string, quantity decimal(10,3), position int, price_cop_at_add int"
 
@@ -41,6 +43,18 @@ def replay(saves, lists, items, regions, prices):
     return errors, {(k, p): v for k, ps in held.items() for p, v in ps.items()}, {k: v[1] for k, v in known.items()}
 
 
+def applied(spark, saves, lists, items, regions, prices, target_rows):
+    items_df = spark.createDataFrame(items, "list_id string, store_product_id string, q string, position int, price_cop_at_add int").select(
+        "list_id", "store_product_id", F.col("q").cast("decimal(10,3)").alias("quantity"), "position", "price_cop_at_add")
+    verdicts, after, headers = li.apply_list_saves(
+        spark.createDataFrame(saves, "save_id string, seq int, owner_id string, list_id string, is_new boolean, name string, items string"),
+        spark.createDataFrame(lists, "id string, owner_id string, name string, is_archived boolean"), items_df,
+        spark.createDataFrame(list(regions.items()), "id string, region_code string"),
+        spark.createDataFrame([(p, r, c) for (p, r), c in prices.items()], "store_product_id string, region_code string, price_cop int"), target_rows)
+    got = {(r.list_id, r.store_product_id): (float(r.quantity), r.position, r.price_cop_at_add) for r in after.collect()}
+    return {r.save_id: r.error for r in verdicts.collect()}, got, {r.id: r.name for r in headers.collect()}
+
+
 def test_batches_equal_a_replay(spark):
     random.seed(11)
     prices = {(f"p{i}", "NACIONAL"): 100 * (i + 1) for i in range(8) if i not in (3, 7)} | {("p1", "BOG"): 999}
@@ -58,20 +72,53 @@ def test_batches_equal_a_replay(spark):
             entries[-1]["quantity"] = 1000
         name = "x" * 101 if n == 41 else f" save {n} "
         saves.append((f"s{n}", n, owner, list_id, list_id in ("n1", "n2"), name, json.dumps(entries)))
-    want_errors, want_items, want_names = replay(saves, lists, items, regions, prices)
-    assert {"22023", "22003", "22001", "42501", "P0001", "P0002", None} == set(want_errors.values())
+    want = replay(saves, lists, items, regions, prices)
+    assert {"22023", "22003", "22001", "42501", "P0001", "P0002", None} == set(want[0].values())
+    assert applied(spark, saves, lists, items, regions, prices, 4) == want
 
-    items_df = spark.createDataFrame(items, "list_id string, store_product_id string, q string, position int, price_cop_at_add int").select(
-        "list_id", "store_product_id", F.col("q").cast("decimal(10,3)").alias("quantity"), "position", "price_cop_at_add")
-    verdicts, after, headers = li.apply_list_saves(
-        spark.createDataFrame(saves, "save_id string, seq int, owner_id string, list_id string, is_new boolean, name string, items string"),
-        spark.createDataFrame(lists, "id string, owner_id string, name string, is_archived boolean"), items_df,
-        spark.createDataFrame(list(regions.items()), "id string, region_code string"),
-        spark.createDataFrame([(p, r, c) for (p, r), c in prices.items()], "store_product_id string, region_code string, price_cop int"), 4)
-    assert {r.save_id: r.error for r in verdicts.collect()} == want_errors
-    got = {(r.list_id, r.store_product_id): (float(r.quantity), r.position, r.price_cop_at_add) for r in after.collect()}
-    assert got == want_items
-    assert {r.id: r.name for r in headers.collect()} == want_names
+
+@pytest.mark.parametrize("target_rows", [1_000_000, 50])
+def test_a_thousand_saves_that_put_back_what_is_gone(spark, target_rows):
+    """Products without a price leave a list one by one; saves that still have one of those gone are refused, in one pass."""
+    random.seed(5)
+    prices, regions, lists = {("p0", "NACIONAL"): 100}, {"o1": "BOG"}, [("l1", "o1", "old", False), ("l2", "o1", "old", False)]
+    items = [(li_id, f"p{i}", "1.000", i, 50 + i) for li_id in ("l1", "l2") for i in range(1, 9)]
+    saves = []
+    for n in range(1300):
+        left = range(1, 9) if n < 20 else range(1, random.choice([3, 9, 9, 9]))
+        taken = ["p0"] + [f"p{i}" for i in left if n < 20 or random.random() < 0.7]
+        entries = [{"store_product_id": p, "quantity": 1 + n % 5} for p in taken]
+        saves.append((f"s{n}", n, "o1", "l2" if n % 60 == 1 else "l1", False, f"save {n}", json.dumps(entries)))
+    want = replay(saves, lists, items, regions, prices)
+    assert sum(e == "P0001" for e in want[0].values()) > 1000
+    assert applied(spark, saves, lists, items, regions, prices, target_rows) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_refused_saves_equal_a_loop(spark, seed):
+    rng = random.Random(seed)
+    products, saves, held, want = [f"p{i}" for i in range(5)], [], [], set()
+    for k, n in enumerate([90, 30, 1]):
+        state = set(rng.sample(products, 4))
+        if k < 2:
+            held.append((k, sorted(state)))
+        else:
+            state = set()
+        for seq in range(n):
+            has = set(rng.sample(products, rng.randint(0, 5)))
+            needs = {p for p in has if rng.random() < 0.7}
+            saves.append((f"{k}-{seq}", k, seq, sorted(needs), sorted(has)))
+            if needs <= state:
+                state = has
+            else:
+                want.add(f"{k}-{seq}")
+    rng.shuffle(saves)
+    save_rows = spark.createDataFrame(saves, "save_id string, list_id int, seq int, needs array<string>, has array<string>")
+    held_rows = spark.createDataFrame(held, "list_id int, held array<string>")
+    assert want
+    for target in (1_000_000, 7, 2):
+        got = [r.save_id for r in refused_saves(save_rows, held_rows, target).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_totals_of_an_edited_list(spark):
