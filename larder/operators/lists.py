@@ -49,11 +49,15 @@ def register_parse_list_items(spark) -> None:
     spark.udtf.register("parse_list_items", ParseListItems)
 
 
-def _base_error(saves: DataFrame, payload: DataFrame) -> DataFrame:
-    """Payload errors that need nothing but the save itself."""
+def _base_error(saves: DataFrame, entries: DataFrame) -> DataFrame:
+    """Errors that need nothing but the save, today's prices and what its list holds.
+
+    A product without a price can only be in a list that held it already: such saves are refused at once.
+    """
     low, high = F.lit(LIST_MIN_QUANTITY).cast("decimal(38,10)"), F.lit(LIST_MAX_QUANTITY).cast("decimal(38,10)")
     outside = F.coalesce((F.col("quantity") < low) | (F.col("quantity") > high), F.lit(True))
-    wrong = payload.groupBy("save_id").agg(F.max(outside).alias("_bad"))
+    hopeless = F.col("today").isNull() & F.col("held_price").isNull()
+    wrong = entries.groupBy("save_id").agg(F.max(outside).alias("_bad"), F.max(hopeless).alias("_hopeless"))
     entries = F.json_array_length("items")
     code = (
         F.when(F.col("owner_id").isNull(), "42501")
@@ -62,8 +66,9 @@ def _base_error(saves: DataFrame, payload: DataFrame) -> DataFrame:
         .when(F.coalesce(strip(F.col("name")), F.lit("")) == "", "23514")
         .when(F.length(strip(F.col("name"))) > LIST_MAX_NAME, "22001")
         .when(F.coalesce("_bad", F.lit(True)), "22003")
+        .when(F.col("_hopeless"), "P0001")
     )
-    return saves.join(wrong, "save_id", "left").withColumn("error", code).drop("_bad")
+    return saves.join(wrong, "save_id", "left").withColumn("error", code).drop("_bad", "_hopeless")
 
 
 def _list_error(checked: DataFrame, lists: DataFrame) -> DataFrame:
@@ -143,14 +148,7 @@ def apply_list_saves(
     )
     # read by the checks, the chain and the result: cut once instead of parsing every payload again
     entries = cut_lineage(entries)
-    # A product without a price can only be in a list that held it already: such saves are refused at once.
-    hopeless = entries.where("today is null and held_price is null").select("save_id").distinct()
-    priced = (
-        _base_error(saves, payload)
-        .join(hopeless.withColumn("_hopeless", F.lit(True)), "save_id", "left")
-        .withColumn("error", F.coalesce("error", F.when(F.col("_hopeless"), "P0001")))
-        .drop("_hopeless")
-    )
+    priced = _base_error(saves, entries)
     checked = cut_lineage(_list_error(priced, lists))
     earlier = entries.select(F.col("save_id").alias("before_id"), "store_product_id", F.lit(True).alias("_there"))
 
