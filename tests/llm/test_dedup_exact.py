@@ -76,6 +76,23 @@ def test_suffix_dedup(spark, length, core, group):
             assert got[k]["kept_text"] == (texts[k] or "")
 
 
+@pytest.mark.parametrize("group", [1 << 12, 1])
+def test_suffix_dedup_at_the_edges_of_texts(spark, group):
+    """Many texts share how they begin, or how they end: spans of groups that are split end with their text."""
+    rng = random.Random(0)
+    letters = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    head, middle, tail = letters(30), letters(45), letters(33)
+    texts = []
+    for _ in range(40):
+        texts.append(head[: rng.choice([25, 28, 30, 30])] + letters(rng.randrange(30)))
+        texts.append(letters(rng.randrange(30)) + tail[rng.choice([0, 0, 3, 6]) :])
+        texts.append(letters(rng.randrange(8)) + middle + letters(rng.randrange(8)))
+        texts.append(middle[rng.randrange(6) : 45 - rng.randrange(6)])
+    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(documents(spark, texts), 20, 10, group).collect()}
+    for k, want in enumerate(bytes_removed(texts, 20)):
+        assert tuple(got[k][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want, texts[k]
+
+
 @pytest.mark.parametrize("group", [1 << 12, 2])
 def test_suffix_dedup_keeps_first(spark, group):
     """Of equal strings only those stay that come first by the text's hash, then by place; copies of a text are one text."""
