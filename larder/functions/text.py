@@ -24,6 +24,8 @@ def _accent_table() -> tuple[str, str]:
 
 
 MARKED, PLAIN = _accent_table()
+#: Marks that stand on their own go: signs to translate that have no counterpart.
+MARKS = "".join(map(chr, range(0x0300, 0x0370)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,7 +35,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def fold(col: Column) -> Column:
     """Lower case without accents: ``Piña`` gives ``pina``."""
-    return F.regexp_replace(F.translate(F.lower(col), MARKED, PLAIN), "[\u0300-\u036f]", "")
+    return F.translate(F.lower(col), MARKED + MARKS, PLAIN)
+
+
+def fold_to(col: Column, others: dict[str, str]) -> Column:
+    """``fold``, and then other signs for some, in one pass over the text."""
+    known = dict(zip(MARKED, (others.get(c, c) for c in PLAIN), strict=True))
+    known = {c: others.get(c, c) for c in others} | known
+    return F.translate(F.lower(col), "".join(known) + MARKS, "".join(known.values()))
 
 
 def fold_text(df: DataFrame, *columns: str, suffix: str = "_folded") -> DataFrame:
@@ -46,9 +55,13 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACE_CHARS))
 
 
+#: White space that is not one blank already: most texts have none and are not written anew, most signs are passed by at once.
+_LOOSE = rf"(?=[^\x21-\x7f])(?: (?={SPACE}){SPACE}+|(?! ){SPACE}+)"
+
+
 def squeeze(col: Column) -> Column:
     """Runs of white space to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col, _LOOSE, " "))
 
 
 def words(col: Column) -> Column:

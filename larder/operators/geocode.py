@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larder import fixed
 from larder.functions.geo import box_diagonal_m, box_gap_m, in_country
 from larder.functions.money import lookup
-from larder.functions.text import fold, html_to_text, let, squeeze
+from larder.functions.text import fold, fold_to, html_to_text, let, squeeze
 from larder.schemas import OSM_HIT
 
 _CROSS_TYPE = {"calle": "carrera", "diagonal": "carrera", "carrera": "calle", "transversal": "calle"}
@@ -21,11 +21,12 @@ _CROSS_TYPE = {"calle": "carrera", "diagonal": "carrera", "carrera": "calle", "t
 _STREET_RE = rf"^{fixed.STREET_NUMBER}(?:\s+(sur|este))?"
 
 
+_SIGNS = dict.fromkeys("–—", "-") | dict.fromkeys("°º\"“”'.,", " ")
+
+
 def clean(col: Column) -> Column:
     """Folded text with one kind of dash, no punctuation, and ``#`` standing alone."""
-    text = F.regexp_replace(fold(col), "[–—]", "-")
-    text = F.regexp_replace(text, '[°º"“”\'.,]', " ")
-    return squeeze(F.replace(text, F.lit("#"), F.lit(" # ")))
+    return squeeze(F.replace(fold_to(col, _SIGNS), F.lit("#"), F.lit(" # ")))
 
 
 def _groups(text: Column, pattern: str, count: int) -> Column:
