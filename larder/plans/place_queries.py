@@ -193,7 +193,7 @@ def parse_addresses(spark, sf):
 
 
 def _targets(spark, sf):
-    part = v.read(spark, sf, "part")
+    part = v.read_spread(spark, sf, "part", "p_partkey", "p_name", "p_size", "p_type")
     town = F.when(F.col("p_type") == "PROMO", "ANTIOQUIA").when(F.col("p_type") == "SMALL", "MEDELLÍN").otherwise("Bogotá D.C.")
     state = F.when(F.col("p_type") == "PROMO", "Medellín").when(F.col("p_type") == "SMALL", "ANTIOQUIA")
     address = F.when(F.col("p_type") == "LARGE", "Mall sin calle").otherwise(
