@@ -79,6 +79,12 @@ def first_match(text: Column, rules: Sequence[Rule], aisle: Column | None = None
     return F.lit(None).cast("string") if decided is None else decided
 
 
+def any_match(text: Column, rules: Sequence[Rule]) -> Column:
+    """Whether any rule matches, in one reading of the text; rules are not tied to its start."""
+    own = "|".join(keyword_pattern(r).removeprefix(WORD_START) for r in rules)
+    return text.rlike(f"{WORD_START}{_first_letters(rules)}(?:{own})") if rules else F.lit(False)
+
+
 def earliest_match(text: Column, rules: Sequence[Rule]) -> Column:
     """Target of the match that starts first in the text; equal starts go to the earlier rule."""
     if not rules:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions.money import lookup
-from larder.functions.rules import Rule, RuleIndex, earliest_match, first_match, layer
+from larder.functions.rules import Rule, RuleIndex, any_match, earliest_match, first_match, layer
 from larder.functions.starter_rules import STARTER_RULES
 from larder.functions.text import capitalise_first, fold, let
 
@@ -56,9 +56,18 @@ def aisle_of(text: Column, bucket: Column, taxonomy: Taxonomy, looked_up: int =
     rules = taxonomy.rules
     if len(rules) < looked_up:
         def first(name: str, aisle: Column | None = None) -> Column:
-            return first_match(text, layer(rules, name), aisle, head=_in_head(name))
-
-        return _strongest(bucket, taxonomy, first, earliest_match(text, layer(rules, "produce")))
+            own = layer(rules, name)
+            found = first_match(text, own, aisle, head=_in_head(name))
+            return found if _in_head(name) or len(own) < 2 else F.when(any_match(text, own), found)
+
+        def first_of_head(name: str, aisle: Column | None = None) -> Column:
+            return first(name, aisle) if _in_head(name) else F.lit(None).cast("string")
+
+        # most texts hold no keyword at all: one reading tells, instead of one for every target
+        produce, none = layer(rules, "produce"), F.lit(None).cast("string")
+        by_word = _strongest(bucket, taxonomy, first, F.when(any_match(text, produce), earliest_match(text, produce)))
+        anything = any_match(text, [r for r in rules if not _in_head(r.layer)])
+        return F.when(anything, by_word).otherwise(_strongest(bucket, taxonomy, first_of_head, none))
     body, head = RuleIndex([r for r in rules if not _in_head(r.layer)]), RuleIndex([r for r in rules if _in_head(r.layer)], head=True)
 
     def chosen(hits: Column) -> Column:
