@@ -1,13 +1,18 @@
 """Nearest shops against brute force, shops of every source, reminders, addresses, trips."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from larder.fixed import SPACE
+from larder.functions.text import MARKED, PLAIN, fold, squeeze
 from larder.operators import branches as br
 from larder.operators import geocode as gc
 from larder.operators import proximity as px
 from larder.operators import reminders as rm
 from larder.operators import trips as tr
+from larder.plans import place_queries
 from larder.schemas import OSM_HIT
 
 
@@ -147,3 +152,26 @@ def test_trips(spark):
     assert got[0].remaining_m == round(metres(4.6, -74.0, 4.6, -73.995)) and got[-1].remaining_m == 0
     segments = tr.route_segments(routes).orderBy("segment").collect()
     assert len(segments) == 5 and round(segments[0].remaining_m) == got[0].remaining_m
+
+
+def test_clean_reads_a_text_once(spark):
+    """Folding, dashes, punctuation and blanks in one translation and one pattern give what pattern after pattern gave."""
+    odd = [None, "", "  ", "Cra 80 A # 50–87", "Calle  5.º, “Sur”", "á̀  　b", "ÑÚ̀K'#'\t\n x", "x   ", " # ", "Δά—–'.;﻿İ", "a  b   c", "´`Ͱ"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("aÁñ #.,-–— \t ́ \"º") for _ in range(rng.randrange(20))) for _ in range(200)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    folded = F.regexp_replace(F.translate(F.lower("t"), MARKED, PLAIN), "[̀-ͯ]", "")
+    plain = F.regexp_replace(F.regexp_replace(folded, "[–—]", "-"), '[°º"“”\'.,]', " ")
+    blanks = lambda c: F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    want = [folded, blanks(F.replace(plain, F.lit("#"), F.lit(" # "))), blanks(F.col("t"))]
+    got = [fold(F.col("t")), gc.clean(F.col("t")), squeeze(F.col("t"))]
+    for r in df.select(F.array(*want).alias("want"), F.array(*got).alias("got")).collect():
+        assert r["got"] == r["want"]
+    assert str(gc.clean(F.col("t"))).count("regexp_replace") == 1
+
+
+def test_shops_are_spread_before_they_are_parsed(spark, monkeypatch):
+    """Products are few bytes and much work: their file has one row group, that is one task otherwise."""
+    monkeypatch.setattr(place_queries, "cut_lineage", lambda df: df)
+    plan = place_queries._targets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan

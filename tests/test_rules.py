@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from larder.functions.rules import Rule, RuleIndex, earliest_match, first_match
+from larder.functions.rules import Rule, RuleIndex, any_match, earliest_match, first_match, keyword_pattern
+from larder.functions.starter_rules import STARTER_RULES
 from larder.operators.classify import Taxonomy, aisle_of, classify, plain_words
 
 WORDS = ["te", "papa", "sal", "hot", "dog", "pan", "es", "s", "x", "2", "a1", "_b"]
@@ -65,3 +67,20 @@ def test_thousands_of_rules_are_one_reading(spark):
     out = classify(frame, Taxonomy(rules, (), (), "", (), "rest"))
     assert [r["category_slug"] for r in out.collect()] == ["s2999", "s5", "late", "s59", "rest"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 10
+
+
+def test_texts_without_a_keyword_are_read_once(spark):
+    """One pattern of all keywords says whether any rule matches; aisles are those of the looked-up rules."""
+    rng = random.Random(8)
+    parts = [r.keyword.strip("*") for r in STARTER_RULES] + ["xx", "pan", "8 x", "12", "(", ".", "ñ", "es", "s"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "s ", "es ", "x", "-", "  "]) for _ in range(rng.randrange(5))) for _ in range(400)]
+    rows = [(t, rng.choice([None, *dict(Taxonomy().fallback), "?"])) for t in [None, "", *texts]]
+    df = spark.createDataFrame(rows, "t string, b string").select(plain_words(F.col("t")).alias("t"), "b").cache()
+    body = [r for r in STARTER_RULES if r.layer != "head" and not r.layer.startswith("closed:")]
+    text = F.col("t")
+    one_by_one = reduce(lambda a, b: a | b, [text.rlike(keyword_pattern(r)) for r in body])
+    matched = df.select(any_match(text, body).alias("any"), one_by_one.alias("each")).collect()
+    assert all(r["any"] == r["each"] for r in matched) and {r["any"] for r in matched} == {None, True, False}
+    gated, looked_up = ([r[0] for r in df.select(aisle_of(text, F.col("b"), Taxonomy(), n)).collect()] for n in (1000, 0))
+    df.unpersist()
+    assert gated == looked_up and len(set(gated)) > 10
