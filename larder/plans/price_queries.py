@@ -464,7 +464,7 @@ def _saves(spark, sf):
     entry = F.struct(
         "l_linenumber", "l_quantity", F.col("l_partkey").cast("string").alias("p"),
     )
-    lines = v.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    lines = v.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     payload = F.to_json(
         F.transform("e", lambda x: F.struct(x["p"].alias("store_product_id"), x["l_quantity"].alias("quantity")))
     )
@@ -571,19 +571,19 @@ def _resaved(spark, sf):
     held = held.select("*", F.lit(1).cast("decimal(10,3)").alias("quantity"), F.lit(0).alias("position"),
                        (1 + F.col("store_product_id").cast("bigint") % 100).cast("int").alias("price_cop_at_add"))
     entry = F.struct("l_linenumber", "l_quantity", F.col("l_partkey").cast("string").alias("p"))
-    packed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    packed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     shaped = lambda e: F.to_json(F.transform(e, lambda x: F.struct(x["p"].alias("store_product_id"), x["l_quantity"].alias("quantity"))))
     rows = orders.join(packed, key == F.col("l_orderkey"), "left")
     owner = F.col("o_custkey") + F.when(key % 10 == 0, 1_000_000).otherwise(0)
 
-    def save(number: int, name, items):
-        return rows.select((key * 2 + number).alias("save_id"), F.lit(number).cast("bigint").alias("seq"), owner.alias("owner_id"), key.alias("list_id"),
-                           F.lit(False).alias("is_new"), name.alias("name"), F.coalesce(items, F.lit("[]")).alias("items"))
-
-    first = save(0, F.lit("again"), shaped(F.filter("e", lambda x: x["p"].cast("bigint") % 3 != 0)))
-    second = save(1, F.when(key % 14 == 0, "  ").otherwise("again"), shaped(F.col("e")))
+    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("number"))
+    again = F.col("number") == 1
+    part = F.when(again, F.col("e")).otherwise(F.filter("e", lambda x: x["p"].cast("bigint") % 3 != 0))
+    saves = rows.select((key * 2 + F.col("number")).alias("save_id"), F.col("number").cast("bigint").alias("seq"), owner.alias("owner_id"), key.alias("list_id"),
+                        F.lit(False).alias("is_new"), F.when(again & (key % 14 == 0), "  ").otherwise("again").alias("name"),
+                        F.coalesce(shaped(part), F.lit("[]")).alias("items"))
     current = _current(spark, sf).withColumn("store_product_id", F.col("store_product_id").cast("string"))
-    return li.apply_list_saves(first.unionByName(second), lists, held, v.profiles(spark, sf), current)
+    return li.apply_list_saves(saves, lists, held, v.profiles(spark, sf), current)
 
 
 @query(

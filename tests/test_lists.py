@@ -77,6 +77,40 @@ def test_batches_equal_a_replay(spark):
     assert applied(spark, saves, lists, items, regions, prices, 4) == want
 
 
+@pytest.mark.parametrize("target_rows", [1_000_000, 40])
+def test_saves_are_followed_across_batches_without_jobs_on_the_way(spark, target_rows):
+    """Lists and saves that reach over Arrow batches equal a replay; only the count of long lists runs while it is planned."""
+    random.seed(7)
+    prices = {(f"p{i}", "NACIONAL"): 100 * (i + 1) for i in range(9) if i % 3}
+    regions, lists, items, saves = {"o1": "BOG"}, [], [], []
+    for k in range(4):
+        lists.append((f"l{k}", "o1", "old", k == 3))
+        items += [(f"l{k}", f"p{i}", "2.500", i, 10 * k + i) for i in range(9) if random.random() < 0.7]
+    for n in range(150):
+        entries = [{"store_product_id": f"p{random.randint(0, 8)}", "quantity": random.choice([1, 2.5])} for _ in range(random.randint(1, 9))]
+        list_id = random.choice(["l0", "l0", "l1", "l3", "n1"])
+        saves.append((f"s{n}", n, "o1", list_id, list_id == "n1" and n > 40, f"save {n}", json.dumps(entries)))
+    want = replay(saves, lists, items, regions, prices)
+    assert {"P0001", "P0002", None} == set(want[0].values())
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert applied(spark, saves, lists, items, regions, prices, target_rows) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    if target_rows > len(saves):
+        frames = [spark.createDataFrame(rows, schema) for rows, schema in [
+            (saves, "save_id string, seq int, owner_id string, list_id string, is_new boolean, name string, items string"),
+            (lists, "id string, owner_id string, name string, is_archived boolean"), ([], ITEMS), (list(regions.items()), "id string, region_code string"),
+            ([(p, r, c) for (p, r), c in prices.items()], "store_product_id string, region_code string, price_cop int")]]
+        spark.sparkContext.setJobGroup("planning", "planning")
+        try:
+            li.apply_list_saves(*frames)
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) <= 4
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("target_rows", [1_000_000, 50])
 def test_a_thousand_saves_that_put_back_what_is_gone(spark, target_rows):
     """Products without a price leave a list one by one; saves that still have one of those gone are refused, in one pass."""
