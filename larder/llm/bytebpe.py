@@ -3,7 +3,7 @@
 A text is cut into matches of the vocabulary's pattern. A match that is an entry of the vocabulary as a whole is found
 through a minimal perfect hash of all entries; any other is merged from its bytes: neighbours that may be merged wait in a
 heap by rank, and the parts are a linked list over the bytes. Texts are taken unit by unit (``units``), and a worker
-remembers the ids of a bounded number of units.
+remembers the ids of a bounded number of units and of their matches; new units are split as one text.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.perfecthash import PerfectHash
 from larder.llm.textbuf import BASES, byte_spans, give_back
-from larder.llm.units import units
+from larder.llm.units import Numbers, units
 
 #: Units, and ids of them, that a worker remembers before it starts anew.
 UNITS = 1 << 19
@@ -60,31 +61,37 @@ def newer_signs() -> str:
     return "".join(sorted(out))
 
 
-def merge_bytes(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of a word by merging neighbours, least rank first, the leftmost of equal ones."""
+def merge_bytes(word: bytes, first: list[int], ranks: dict[bytes, int], longest: int) -> list[int]:
+    """Ids of a word by merging neighbours, least rank first, the leftmost of equal ones.
+
+    ``first`` has the rank of each two bytes that stand side by side, -1 where there is none.
+    """
     n = len(word)
     after, before = list(range(1, n + 2)), list(range(-1, n))  # where the next part begins, and the one before
-    heap = []
-    for k in range(n - 1):
-        rank = ranks.get(word[k : k + 2])
-        if rank is not None:
-            heap.append((rank, k, k + 1, k + 2))
+    now = [*first, -1]  # rank of the part that begins here with the next one, as long as both are parts
+    heap = [rank * n + k for k, rank in enumerate(first) if rank >= 0]
     heapq.heapify(heap)
+    get, pop, push = ranks.get, heapq.heappop, heapq.heappush
     while heap:
-        _, a, b, c = heapq.heappop(heap)
-        if after[a] != b or b >= n or after[b] != c:
+        rank, a = divmod(pop(heap), n)
+        if now[a] != rank:
             continue
-        after[a] = c
-        after[b] = -1  # no part begins here any more
+        b = after[a]
+        after[a] = c = after[b]
+        now[a] = now[b] = -1  # no part begins at b any more
         if c < n:
             before[c] = a
             d = after[c]
-            if d - a <= longest and (rank := ranks.get(word[a:d])) is not None:
-                heapq.heappush(heap, (rank, a, c, d))
+            if d - a <= longest and (rank := get(word[a:d])) is not None:
+                now[a] = rank
+                push(heap, rank * n + a)
         if a:
             z = before[a]
-            if c - z <= longest and (rank := ranks.get(word[z:c])) is not None:
-                heapq.heappush(heap, (rank, z, a, c))
+            if c - z <= longest and (rank := get(word[z:c])) is not None:
+                now[z] = rank
+                push(heap, rank * n + z)
+            else:
+                now[z] = -1
     out, a = [], 0
     while a < n:
         out.append(ranks[word[a : after[a]]])
@@ -92,6 +99,34 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]
     return out
 
 
+class Lists:
+    """Lists of ids by number, one after another in one array."""
+
+    def __init__(self):
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Further lists: all their ids, and how many each has."""
+        n, used = self.n + len(size), self.used + len(ids)
+        if n > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        self.ids[self.used : used] = ids
+        self.size[self.n : n] = size
+        self.start[self.n : n] = self.used + np.cumsum(size) - size
+        self.n, self.used = n, used
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some lists, and how many each has."""
+        size = self.size[numbers]
+        end = np.cumsum(size)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[numbers] - (end - size), size)
+        return self.ids[at], size
+
+
 class ByteBpe:
     """Ids of texts under a rank file and a pattern, and the bytes of ids."""
 
@@ -110,14 +145,18 @@ class ByteBpe:
         for k, entry in zip(at.tolist(), entries, strict=True):
             self.entries[k] = entry
         self.ids[at] = np.fromiter(ranks.values(), np.int64, len(ranks))
-        self.bytes_of = {i: entry for entry, i in ranks.items()}
+        self.ids_of = self.ids.tolist()
+        self.bytes_of = np.full(int(self.ids.max()) + 1, None, dtype=object)
+        self.bytes_of[self.ids] = np.array([*self.entries, None], dtype=object)[:-1]
+        self.pairs = np.full(1 << 16, -1, dtype=np.int64)  # rank of each two bytes
+        for entry, rank in ranks.items():
+            if len(entry) == 2:
+                self.pairs[entry[0] << 8 | entry[1]] = rank
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str | tuple[str], int] = {}
-        self.merged: dict[bytes, list[int]] = {}  # at most one per match of a known unit
-        self.arena = np.zeros(1 << 16, dtype=np.uint32)
-        self.start, self.size, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.known, self.unit_ids = Numbers(), Lists()
+        self.matches, self.match_ids = Numbers(), Lists()  # every match of a known unit
 
     @staticmethod
     def _hashes(words: list[bytes]) -> np.ndarray:
@@ -131,43 +170,46 @@ class ByteBpe:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each match: whole entries through the hash, all others by merging."""
-        if not words:
-            return []
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches, and how many each has: whole entries through the hash, all others by merging."""
         out = []
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        ranks = self.pairs[data[:-1] << 8 | data[1:]].tolist()
+        at = 0
         for word, k in zip(words, self.whole.numbers(self._hashes(words)).tolist(), strict=True):
+            end = at + len(word)
             if k >= 0 and self.entries[k] == word:
-                out.append([int(self.ids[k])])
-            elif word in self.merged:
-                out.append(self.merged[word])
+                out.append([self.ids_of[k]])
             else:
-                own = self.merged[word] = merge_bytes(word, self.ranks, self.longest)
-                out.append(own)
-        return out
+                out.append(merge_bytes(word, ranks[at : end - 1], self.ranks, self.longest))
+            at = end
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum())), size
 
     def _learn(self, fresh: list[str | tuple[str]]) -> None:
-        """Ids of units; a unit in a tuple opens its text, all others stand behind a blank."""
-        split = [self.split(u[0] if isinstance(u, tuple) else " " + u) for u in fresh]
-        number: dict[str, int] = {}
-        for pieces in split:
-            for p in pieces:
-                number.setdefault(p, len(number))
-        ids = self.words([p.encode() for p in number])
-        for u, pieces in zip(fresh, split, strict=True):
-            own = [i for p in pieces for i in ids[number[p]]]
-            k = len(self.known)
-            if k == len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            if self.used + len(own) > len(self.arena):
-                self.arena = np.resize(self.arena, max(2 * len(self.arena), self.used + len(own)))
-            self.arena[self.used : self.used + len(own)] = own
-            self.known[u], self.start[k], self.size[k] = k, self.used, len(own)
-            self.used += len(own)
+        """Ids of units; a unit in a tuple opens its text, all others stand behind a blank.
+
+        Units that neither hold a blank nor end in white space are split as one text: a match begins at every blank before
+        them and at no other place in them, so the matches that open with a blank are where the units begin.
+        """
+        rest = [isinstance(u, tuple) or " " in u or u[-1].isspace() for u in fresh]
+        split = [self.split(u[0] if isinstance(u, tuple) else " " + u) for u, r in zip(fresh, rest, strict=True) if r]
+        joined = self.split("".join([" " + u for u, r in zip(fresh, rest, strict=True) if not r]))
+        before = len(self.matches)
+        pieces = list(chain(joined, *split))
+        code = np.fromiter(map(self.matches.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.matches) > before:
+            self.match_ids.add(*self.words([p.encode() for p in islice(self.matches, before, None)]))
+        rest = np.array(rest)
+        opens = np.fromiter((p[0] == " " for p in joined), bool, len(joined))
+        unit = np.concatenate((np.flatnonzero(~rest)[np.cumsum(opens) - 1], np.repeat(np.flatnonzero(rest), list(map(len, split)))))
+        order = np.argsort(unit, kind="stable")
+        ids, size = self.match_ids.get(code[order])
+        self.unit_ids.add(ids, np.bincount(unit[order], weights=size, minlength=len(fresh)).astype(np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (one entry more than there are texts)."""
-        if len(self.known) > UNITS or self.used > UNIT_IDS:
+        if len(self.known) > UNITS or self.unit_ids.used > UNIT_IDS:
             self._forget()
         asked: list[str | tuple[str]] = []
         ends = []
@@ -177,18 +219,18 @@ class ByteBpe:
                 own[0] = (own[0],)
                 asked += own
             ends.append(len(asked))
-        fresh = [u for u in dict.fromkeys(asked) if u not in self.known]
-        if fresh:
-            self._learn(fresh)
+        before = len(self.known)
         code = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
-        size = self.size[code]
-        total = np.append(0, np.cumsum(size))
-        at = np.arange(int(total[-1])) + np.repeat(self.start[code] - total[:-1], size)
-        return self.arena[at], total[np.append(0, ends)]
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        ids, size = self.unit_ids.get(code)
+        return ids, np.append(0, np.cumsum(size))[np.append(0, ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids in a row."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.bytes_of):
+            raise KeyError("an id that the vocabulary does not have")
+        return b"".join(self.bytes_of[ids].tolist())
 
 
 _made: dict[tuple, ByteBpe] = {}

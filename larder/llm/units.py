@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: A blank beside white space or at an edge of the text.
-_ODD = re.compile(r" \s|\s |\A | \Z")
+_ODD = re.compile(r" (?:(?<!\S )|(?!\S))")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -16,3 +16,11 @@ def units(text: str) -> list[str]:
     where a blank can only open a piece, spans a cut. So a text's ids are those of its units, each behind its blank.
     """
     return _BETWEEN.split(text) if _ODD.search(text) else text.split(" ")
+
+
+class Numbers(dict):
+    """A number for each different key that is looked up, in the order of first sight."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number

@@ -78,6 +78,36 @@ def test_units_are_forgotten(monkeypatch):
     assert found == tiktoken_ids(texts)
 
 
+def test_new_units_are_split_as_one_text(monkeypatch):
+    """Splitting and merging cost a call per batch and new match, not one per unit."""
+    bpe = bytebpe.ByteBpe(bytebpe.read_ranks(RANKS), P.PATTERN, bytebpe.newer_signs())
+    split, merged = [], []
+    merge = bytebpe.merge_bytes
+    monkeypatch.setattr(bpe, "split", lambda text: split.append(text) or bytebpe.ByteBpe.split(bpe, text))
+    monkeypatch.setattr(bytebpe, "merge_bytes", lambda word, *a: merged.append(word) or merge(word, *a))
+    words = [f"{'zqx' * (k % 5)}{chr(97 + k % 26)}{chr(97 + k // 26)}vwk" for k in range(600)]
+    texts = [" ".join(words), " ".join(w + "," for w in words[1:]), "zq\n", " ".join(w + ".\nEnd" for w in words), " x  y\t z"]
+    ids, bounds = bpe.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == tiktoken_ids(texts)  # noqa: B905
+    assert len(split) < 12 and len(merged) == len(set(merged))
+    assert [bpe.decode(ids[a:b]).decode() for a, b in zip(bounds, bounds[1:])] == texts  # noqa: B905
+    for wrong in (-1, 1 << 20):
+        with pytest.raises(KeyError):
+            bpe.decode(np.array([wrong]))
+
+
+@pytest.mark.parametrize("word", [b"a", b"ab", b"aaaaaaaaaaaaaaaa", b"\xff\xfe\x00\xff", " thethethe".encode() * 9, "éàé".encode() * 50])
+def test_merges_are_those_of_a_scan(word):
+    """The heap merges what a scan for the least rank, leftmost first, merges."""
+    bpe = bytebpe.ByteBpe(bytebpe.read_ranks(RANKS), P.PATTERN)
+    parts = [word[k : k + 1] for k in range(len(word))]
+    while (best := min(((bpe.ranks.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0)))[0] < 1 << 30:  # noqa: B905
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    ids, size = bpe.words([word, b"q", word])
+    want = [bpe.ranks[p] for p in parts]
+    assert ids.tolist() == [*want, bpe.ranks[b"q"], *want] and size.tolist() == [len(want), 1, len(want)]
+
+
 def aligned(texts: list) -> list[tuple]:
     """Whole texts through both libraries, pair by pair."""
     import sentencepiece
