@@ -16,7 +16,7 @@ import os
 import pickle
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from larder.llm.bytebpe import batches_of
 from larder.llm.perfecthash import KeyedCounts, PerfectHash
 from larder.llm.textbuf import give_back, mix
-from larder.llm.units import units
+from larder.llm.units import Numbers, units
 from larder.session import cut_lineage
 
 #: Shards of pairs. There are at most as many pairs as the product of both vocabularies, so a shard has a bound of its own.
@@ -42,6 +42,8 @@ UNITS = 3 << 18
 UNIT_LINKS = 1 << 22
 UNIT_BYTES = 1 << 25
 UNITS_AT_ONCE = 1 << 12
+#: Units that go to the first vocabulary's tokenizer as one text.
+JOINED = 32
 BLOCK_LINKS = 1 << 22
 #: An id, a separator and a digit for every power of ten that an id may have.
 _WIDTH = 11
@@ -81,7 +83,7 @@ class TwoVocabularies:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.groups: list[bytes] = []
         #: For each unit: ids of both, groups, links, whether its bytes agree, where its pairs begin, how many they are.
         self.sizes = np.zeros((7, 1 << 12), dtype=np.int64)
@@ -100,7 +102,7 @@ class TwoVocabularies:
         if 2 * len(keep) > UNITS or 2 * len(keys) > UNIT_LINKS or 2 * sum(map(len, groups)) > UNIT_BYTES:
             return
         sizes[5] = np.cumsum(size) - size
-        self.known = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self.known = Numbers((names[k], n) for n, k in enumerate(keep.tolist()))
         self._keep(sizes, keys, links, groups)
 
     def over(self) -> bool:
@@ -122,12 +124,42 @@ class TwoVocabularies:
         self.groups += groups
         self.written += sum(map(len, groups))
 
+    def _first_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts under the first vocabulary, and how many each has."""
+        found = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
+
+    def _first_of_units(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units under the first vocabulary, and how many each has.
+
+        Units without white space at an edge or a blank inside go to the tokenizer ``JOINED`` at a time, as they stand in a
+        text. Where a token then does not end with each unit, or the bytes differ, all go one by one.
+        """
+        alone = np.array([" " in u or not u or u[0].isspace() or u[-1].isspace() for u in fresh])
+        row = [" " + u for u, x in zip(fresh, alone, strict=True) if not x]
+        ids, _ = self._first_ids(["".join(row[k : k + JOINED]) for k in range(0, len(row), JOINED)])
+        raw = [u.encode() for u in row]
+        if b"".join(map(self.a_bytes.__getitem__, ids.tolist())) != b"".join(raw):
+            return self._first_ids([" " + u for u in fresh])
+        end, stop = np.cumsum(self.a_size[ids]), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        if len(stop) and (end[np.searchsorted(end, stop)] != stop).any():
+            return self._first_ids([" " + u for u in fresh])
+        n = np.zeros(len(fresh), dtype=np.int64)
+        n[~alone] = np.bincount(np.searchsorted(stop, end), minlength=len(stop))
+        if not alone.any():
+            return ids, n
+        other, n[alone] = self._first_ids([" " + u for u, x in zip(fresh, alone, strict=True) if x])
+        out, of_alone = np.empty(len(ids) + len(other), dtype=np.int64), np.repeat(alone, n)
+        out[of_alone], out[~of_alone] = other, ids
+        return out, n
+
     def _learn(self, fresh: list[str]) -> None:
         """Aligns units: their tokens under both vocabularies in a row, cut where both end at the same byte."""
-        found_a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in fresh], add_special_tokens=False)]
+        ids_a, n_a = self._first_of_units(fresh)
         found_b = self.b.encode(fresh, num_threads=1)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(fresh)) for x in (found_a, found_b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())) for found, n in ((found_a, n_a), (found_b, n_b)))
+        n_b = np.fromiter(map(len, found_b), np.int64, len(fresh))
+        ids_b = np.fromiter(chain.from_iterable(found_b), np.int64, int(n_b.sum()))
         good = np.ones(len(fresh), dtype=bool)
         raw = [b" " + u.encode() for u in fresh]
         join = lambda table, ids: b"".join(map(table.__getitem__, ids))
@@ -136,6 +168,7 @@ class TwoVocabularies:
         same = [(np.bincount(u, weights=w[ids], minlength=len(fresh)) == size).all() and join(table, ids.tolist()) == whole
                 for u, w, ids, table in ((unit_a, self.a_size, ids_a, self.a_bytes), (unit_b, self.b_size, ids_b, self.b_bytes))]
         if not all(same):
+            found_a = [x.tolist() for x in np.split(ids_a, np.cumsum(n_a)[:-1])]
             good = np.array([join(self.a_bytes, a) == r == join(self.b_bytes, b) for a, b, r in zip(found_a, found_b, raw, strict=True)])
             ids_a, ids_b = ids_a[good[unit_a]], ids_b[good[unit_b]]
             unit_a, n_a, n_b = unit_a[good[unit_a]], n_a * good, n_b * good
@@ -194,13 +227,11 @@ class TwoVocabularies:
             if text:
                 asked += units(text)
             bounds.append(len(asked))
-        fresh = [u for u in dict.fromkeys(asked) if u not in self.known]
-        for k in range(0, len(fresh), UNITS_AT_ONCE):
-            part = fresh[k : k + UNITS_AT_ONCE]
-            for u in part:
-                self.known[u] = len(self.known)
-            self._learn(part)
+        before = len(self.known)
         code = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        fresh = list(islice(self.known, before, None)) if len(self.known) > before else []
+        for k in range(0, len(fresh), UNITS_AT_ONCE):
+            self._learn(fresh[k : k + UNITS_AT_ONCE])
         self.uses[: len(self.known)] += np.bincount(code, minlength=len(self.known))
         return code, np.array(bounds)
 
@@ -220,6 +251,12 @@ def vocabularies(first: str, second: str) -> TwoVocabularies:
     return _made[first, second]
 
 
+def _drop_units() -> None:
+    """Forgets the units of this worker process, in tasks that align no texts and hold tables of pairs instead."""
+    for both in _made.values():
+        both._forget()
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers, sorted or small, in few bytes."""
     return zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1)
@@ -301,6 +338,7 @@ def _unite(last: bool):
     names = ["shard", "keys"] if not last else ["shard", "keys", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_units()
         now, held, fresh, n = None, np.empty(0, np.int64), [], 0
 
         def out() -> pa.RecordBatch:
@@ -340,6 +378,7 @@ def _table(keys: bytes, made: bytes, counts: np.ndarray | None = None) -> KeyedC
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's dense vector of one branch; a branch's first row is the shard's hash, its others are tasks' counts."""
+    _drop_units()
     now, table = None, None
     out = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([zlib.compress(table.counts.tobytes(), 1)], pa.binary())],
                                              ["shard", "counts"])
@@ -359,6 +398,7 @@ def _sum_branches(width: int):
     """Each shard's whole counts, in the order of its hash, and each first id's highest count in the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_units()
         now, keys, made, total = None, b"", b"", None
 
         def out() -> pa.RecordBatch:

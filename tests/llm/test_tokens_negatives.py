@@ -254,3 +254,43 @@ def test_bounds_spare_rows():
         assert (low <= exact[a]).all() and (exact[a] <= high).all()
         walk.exact(a, np.flatnonzero(high >= np.sort(low)[-5]))
     assert walk.scored < 30 * 400 / 2
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given; with ``wrong`` its first answer is wrong."""
+
+    def __init__(self, own, wrong: bool = False):
+        self.own, self.given, self.wrong = own, [], wrong
+
+    def encode_batch_fast(self, texts, **options):
+        self.given.append(len(texts))
+        found = self.own.encode_batch_fast(texts, **options)
+        return list(reversed(found)) if self.wrong and len(self.given) == 1 else found
+
+
+def test_units_are_encoded_in_rows():
+    """The first tokenizer gets rows of new units, which end where the units do; if they don't, it gets them one by one."""
+    each, rows, wrong = (crosstoken.TwoVocabularies(FIRST, SECOND) for _ in range(3))
+    rows.a, wrong.a = Counted(rows.a), Counted(wrong.a, wrong=True)
+    texts = [t for t in messy_texts() if t and "\x00" not in t and "ﬁ" not in t][:40] + [t for t in ODD if "  " not in t]
+    fresh = [u for u in dict.fromkeys(u for t in texts for u in units(t)) if u]
+    want = each._first_ids([" " + u for u in fresh])
+    for table in (rows, wrong):
+        ids, n = table._first_of_units(fresh)
+        assert ids.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+    alone = sum(" " in u or u != u.strip() for u in fresh)
+    assert 0 < alone < len(fresh) // 2 and sum(rows.a.given) <= alone + len(fresh) // crosstoken.JOINED + 1
+    assert sum(wrong.a.given) > len(fresh)
+    for lone in ([" "], ["a"], ["a b", "\n"]):
+        assert [x.tolist() for x in rows._first_of_units(lone)] == [x.tolist() for x in each._first_ids([" " + u for u in lone])]
+
+
+def test_units_are_dropped_where_pairs_are_added_up():
+    """A worker that has aligned texts holds none of their units while it adds up tables of pairs."""
+    table = crosstoken.vocabularies(FIRST, SECOND)
+    for run in (crosstoken._unite(False), crosstoken._unite(True), crosstoken._add_up, crosstoken._sum_branches(table.width)):
+        table.read(["some words of a text"])
+        assert len(table.known) and table.held
+        assert list(run(iter([]))) == [] and not len(table.known) and not table.held
+    code, bounds = table.read(["some words of a text"])
+    assert len(code) == bounds[-1] == 5 and table.clean(code, bounds).all()
