@@ -80,8 +80,15 @@ class TwoVocabularies:
             own = str(k).encode()
             self.digits[k, : len(own)] = np.frombuffer(own, dtype=np.uint8)
             self.n_digits[k] = len(own)
+        self.writes = True
         self._forget()
 
+    def write(self, groups: bool) -> None:
+        """Whether groups are written out from now on; units that were met before are forgotten if that changes."""
+        if groups != self.writes:
+            self._forget()
+        self.writes = groups
+
     def _forget(self) -> None:
         self.known = Numbers()
         self.groups: list[bytes] = []
@@ -130,20 +137,17 @@ class TwoVocabularies:
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
 
-    def _first_of_units(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _first_of_units(self, fresh: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of units under the first vocabulary, and how many each has.
 
         Units without white space at an edge or a blank inside go to the tokenizer ``JOINED`` at a time, as they stand in a
-        text. Where a token then does not end with each unit, or the bytes differ, all go one by one.
+        text; where a token then does not end with each unit, all go one by one. ``size``: each unit's bytes and its blank's.
         """
         alone = np.array([" " in u or not u or u[0].isspace() or u[-1].isspace() for u in fresh])
         row = [" " + u for u, x in zip(fresh, alone, strict=True) if not x]
         ids, _ = self._first_ids(["".join(row[k : k + JOINED]) for k in range(0, len(row), JOINED)])
-        raw = [u.encode() for u in row]
-        if b"".join(map(self.a_bytes.__getitem__, ids.tolist())) != b"".join(raw):
-            return self._first_ids([" " + u for u in fresh])
-        end, stop = np.cumsum(self.a_size[ids]), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        if len(stop) and (end[np.searchsorted(end, stop)] != stop).any():
+        end, stop = np.cumsum(self.a_size[ids]), np.cumsum(size[~alone])
+        if len(stop) and not (len(end) and end[-1] == stop[-1] and (end[np.searchsorted(end, stop)] == stop).all()):
             return self._first_ids([" " + u for u in fresh])
         n = np.zeros(len(fresh), dtype=np.int64)
         n[~alone] = np.bincount(np.searchsorted(stop, end), minlength=len(stop))
@@ -156,14 +160,16 @@ class TwoVocabularies:
 
     def _learn(self, fresh: list[str]) -> None:
         """Aligns units: their tokens under both vocabularies in a row, cut where both end at the same byte."""
-        ids_a, n_a = self._first_of_units(fresh)
+        raw = [b" " + u.encode() for u in fresh]
+        size, whole = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
+        join = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        ids_a, n_a = self._first_of_units(fresh, size)
+        if join(self.a_bytes, ids_a.tolist()) != whole:
+            ids_a, n_a = self._first_ids([" " + u for u in fresh])
         found_b = self.b.encode(fresh, num_threads=1)
         n_b = np.fromiter(map(len, found_b), np.int64, len(fresh))
         ids_b = np.fromiter(chain.from_iterable(found_b), np.int64, int(n_b.sum()))
         good = np.ones(len(fresh), dtype=bool)
-        raw = [b" " + u.encode() for u in fresh]
-        join = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        size, whole = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
         unit_a, unit_b = np.repeat(np.arange(len(fresh)), n_a), np.repeat(np.arange(len(fresh)), n_b)
         same = [(np.bincount(u, weights=w[ids], minlength=len(fresh)) == size).all() and join(table, ids.tolist()) == whole
                 for u, w, ids, table in ((unit_a, self.a_size, ids_a, self.a_bytes), (unit_b, self.b_size, ids_b, self.b_bytes))]
@@ -194,7 +200,8 @@ class TwoVocabularies:
         size = np.bincount(keys // most, minlength=len(fresh))
         n_groups = np.bincount(of_group, minlength=len(fresh))
         sizes = np.stack((n_a, n_b, n_groups, n_links, good, np.cumsum(size) - size, size))
-        self._keep(sizes, keys % most, links, self._written(ids_a, ids_b, group_a, group_b, of_group, len(fresh)))
+        written = self._written(ids_a, ids_b, group_a, group_b, of_group, len(fresh)) if self.writes else [b""] * len(fresh)
+        self._keep(sizes, keys % most, links, written)
 
     def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, of_group: np.ndarray, n: int) -> list[bytes]:
         """Each unit's groups as ``a1,a2|b1;a3|b2;``."""
@@ -293,6 +300,7 @@ def _count_pairs(first: str, second: str, shards: int, fan: int, hold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(first, second)
+        both.write(False)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for batch in batches:
@@ -455,6 +463,7 @@ def _look_up(first: str, second: str, tables, best, shards: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(first, second)
+        both.write(True)
         held = {s: _table(keys, made, np.frombuffer(counts, dtype=np.int64)) for s, keys, made, counts in tables.value}
         highest = best.value
         for batch in batches:
